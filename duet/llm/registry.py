@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op4_counts
+from . import op2_bpe, op3_quality, op4_counts, op10_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe.query,
+    "op3_quality_rules": op3_quality.query,
     "op4_token_counts": op4_counts.query,
+    "op10_toxicity": op10_toxicity.query,
 }
 ORACLE: dict[str, str] = {}
