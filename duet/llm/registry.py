@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op3_quality, op4_counts, op10_toxicity
+from . import op2_bpe, op3_quality, op4_counts, op7_shards, op10_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe.query,
     "op3_quality_rules": op3_quality.query,
     "op4_token_counts": op4_counts.query,
+    "op7_shards": op7_shards.query,
     "op10_toxicity": op10_toxicity.query,
 }
 ORACLE: dict[str, str] = {}
