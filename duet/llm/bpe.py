@@ -185,20 +185,20 @@ class Splitter:
                 out += [bytes(self.back[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
-    def plain(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    def plain(self, chunks: list[bytes]) -> tuple[list[str], np.ndarray]:
         """Pre-tokens of chunks that are not ODD laid end to end, and the number for each chunk."""
         s = b"\n".join(chunks).decode() + "\n"
         if self.normalizer:  # it would turn the line ends into spaces
-            s = "\n".join(self.normalizer.normalize_str(s.replace("\n", " ")).split(" "))
-        words = np.array("".join(w + "\n" if w != "\n" else "\n" for w in self.find(s)).encode().split(b"\n")[:-1], object)
-        end = np.flatnonzero(words == b"")
-        return words[words != b""].tolist(), np.diff(end, prepend=-1) - 1
+            s = s.lower() if s.isascii() else "\n".join(self.normalizer.normalize_str(s.replace("\n", " ")).split(" "))
+        words = self.find(s)
+        end = np.flatnonzero(np.fromiter(map("\n".__eq__, words), bool, len(words)))
+        return [w for w in words if w != "\n"], np.diff(end, prepend=-1) - 1
 
 
 class WordBpe:
     """Encoder and decoder for the vocabulary with word ends. Build once per worker; ``keep`` bounds the chunks remembered."""
 
-    def __init__(self, spec_json: str, keep: int = 700_000) -> None:
+    def __init__(self, spec_json: str, keep: int = 600_000) -> None:
         self.m = _merges(spec_json)
         self.split = Splitter(spec_json, WORD_PATTERN)
         self.keep = keep
@@ -206,38 +206,51 @@ class WordBpe:
 
     def forget(self) -> None:
         self.seen: dict[bytes, int] = {}
+        self.word: dict[str | bytes, int] = {}
         self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.word_flat, self.word_start, self.word_size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that hold no ASCII white space and remember them."""
         odd = ODD.search
-        chunks = sorted(chunks, key=lambda c: odd(c) is not None)
-        first_odd = next((i for i, c in enumerate(chunks) if odd(c)), len(chunks)) if chunks and odd(chunks[-1]) else len(chunks)
-        words, count = self.split.plain(chunks[:first_odd]) if first_odd else ([], np.empty(0, np.int64))
-        fixed: dict[int, int] = {}
-        more: list[int] = []
-        for c in chunks[first_odd:]:
+        ascii_, latin, rest = [], [], []
+        for c in chunks:
+            (rest if odd(c) else ascii_ if c.isascii() else latin).append(c)
+        words: list = []
+        count = [np.empty(0, np.int64)]
+        for part in (ascii_, latin):
+            if part:
+                w, n = self.split.plain(part)
+                words += w
+                count.append(n)
+        more = []
+        for c in rest:
             got = self.split.by_library(c.decode("utf-8", "replace"))
             more.append(len(got))
-            for w in got:
-                if isinstance(w, int):
-                    fixed[len(words)] = w
-                    w = b"?"
-                words.append(w)
-        count = np.concatenate([count, np.array(more, np.int64)])
-        sym, lens = merge(self.m, *self.m.symbols(words))
-        if fixed:
-            ends = np.cumsum(lens)
-            for k, v in fixed.items():  # "?" is a single symbol
-                sym[ends[k] - 1] = v
-        total = np.concatenate([[0], np.cumsum(lens)])
-        edges = np.concatenate([[0], np.cumsum(count)])
+            words += got
+        count.append(np.array(more, np.int64))
+        new = [w for w in dict.fromkeys(words) if w not in self.word]
+        raw = [b"?" if isinstance(w, int) else w if isinstance(w, bytes) else w.encode() for w in new]
+        sym, lens = merge(self.m, *self.m.symbols(raw))
+        begin = np.cumsum(lens) - lens
+        for i, w in enumerate(new):
+            if isinstance(w, int):  # a special string's id; "?" kept a single place for it
+                sym[begin[i]] = w
+        n = len(self.word_start)
+        self.word.update(zip(new, range(n, n + len(new))))
+        self.word_start = np.concatenate([self.word_start, len(self.word_flat) + begin])
+        self.word_size = np.concatenate([self.word_size, lens])
+        self.word_flat = np.concatenate([self.word_flat, sym])
+        at = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        sizes = self.word_size[at]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        edges = np.concatenate([[0], np.cumsum(np.concatenate(count))])
         begin, end = total[edges[:-1]], total[edges[1:]]
         n = len(self.start)
         self.start = np.concatenate([self.start, len(self.flat) + begin])
         self.size = np.concatenate([self.size, end - begin])
-        self.flat = np.concatenate([self.flat, sym])
-        self.seen.update(zip(chunks, range(n, n + len(chunks))))
+        self.flat = np.concatenate([self.flat, self.word_flat[ranges(self.word_start[at], sizes)]])
+        self.seen.update(zip(ascii_ + latin + rest, range(n, n + len(chunks))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 texts laid end to end, and how many each text has."""
