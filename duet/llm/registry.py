@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op3_quality, op4_counts, op7_shards, op9_jaccard, op10_toxicity
+from . import op2_bpe, op3_quality, op4_counts, op5_idfiles, op6_decontaminate, op7_shards, op9_jaccard, op10_toxicity
 
 QUERIES = {
     "op2_bpe": op2_bpe.query,
     "op3_quality_rules": op3_quality.query,
     "op4_token_counts": op4_counts.query,
+    "op5_id_files": op5_idfiles.query,
+    "op6_decontamination": op6_decontaminate.query,
     "op7_shards": op7_shards.query,
     "op9_jaccard_join": op9_jaccard.query,
     "op10_toxicity": op10_toxicity.query,
