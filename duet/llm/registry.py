@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_bpe, op3_quality, op4_counts, op5_idfiles, op6_decontaminate, op7_shards, op9_jaccard, op10_toxicity
+from . import op1_suffix, op2_bpe, op3_quality, op4_counts, op5_idfiles, op6_decontaminate, op7_shards, op9_jaccard, op10_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix.query,
     "op2_bpe": op2_bpe.query,
     "op3_quality_rules": op3_quality.query,
     "op4_token_counts": op4_counts.query,
