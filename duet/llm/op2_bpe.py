@@ -48,5 +48,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens long, {tail}")
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and the digest of what they decode to."""
+    coded = encode(docs)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), raw=False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_suffix, op2_bpe, op3_quality, op4_counts, op5_idfiles, op6_decontaminate, op7_shards, op9_jaccard, op10_toxicity
+from . import op1_suffix, op2_bpe, op3_quality, op4_counts, op5_idfiles, op6_decontaminate, op7_shards, op8_html, op9_jaccard, op10_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_id_files": op5_idfiles.query,
     "op6_decontamination": op6_decontaminate.query,
     "op7_shards": op7_shards.query,
+    "op8_html_text": op8_html.query,
     "op9_jaccard_join": op9_jaccard.query,
     "op10_toxicity": op10_toxicity.query,
 }
