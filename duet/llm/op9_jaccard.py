@@ -316,7 +316,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialize(classes, "classes")
     reps = classes.where("tokens is not null").select("cid", "n", "tokens")
     tall = arrow_map(reps, _tokens, "cid long, n long, token long")
-    df = tall.groupBy("token").count().where("count > 1")
+    df = materialize(tall.groupBy("token").count().where("count > 1"), "frequencies")  # a table, so that a skewed join can be split
     listed = tall.join(df, "token").groupBy("cid", "n").agg(F.collect_list(F.struct("count", "token")).alias("t"))
     need = F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100)).cast("long")
     listed = listed.where(F.size("t") >= need).withColumn("t", F.array_sort("t"))
