@@ -65,7 +65,7 @@ def weighted_mean(value: str, weight: str) -> Column:
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     """Counts of row x column as one column for each of the given values."""
-    return df.where(F.col(row).isNotNull()).groupBy(row).pivot(column, values).agg(F.count("*")).na.fill(0)
+    return df.where(F.col(row).isNotNull()).groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:

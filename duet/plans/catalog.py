@@ -242,11 +242,11 @@ def _(spark, d):
 @query("interpolate_anchors", f"""WITH {_EV}, o AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY start_s, event_id) AS pos, CASE WHEN topic='{BASE}' THEN ac END AS v FROM ev),
  p AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN pos END) OVER (PARTITION BY user_id ORDER BY pos) AS pa, min(CASE WHEN v IS NOT NULL THEN pos END) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS pb FROM o),
  q AS (SELECT p.*, a.v AS va, b.v AS vb FROM p LEFT JOIN o a ON a.user_id=p.user_id AND a.pos=p.pa LEFT JOIN o b ON b.user_id=p.user_id AND b.pos=p.pb)
- SELECT event_id, round(coalesce(va+coalesce((pos-pa)/nullif(CAST(pb-pa AS DOUBLE),0),0)*(vb-va), va, vb),5) AS filled FROM q""")
+ SELECT event_id, round(coalesce(va+coalesce((pos-pa)/nullif(CAST(pb-pa AS DOUBLE),0),0)*(vb-va), va, vb),8) AS filled FROM q""")
 def _(spark, d):
     pos = F.row_number().over(Window.partitionBy("user_id").orderBy("start_s", "event_id")).cast("long")
     rows = events(spark, d).withColumn("pos", pos).withColumn("v", F.when(F.col("topic") == BASE, F.col("ac")))
-    return TL.interpolate(rows, "v", "pos", ["user_id"]).select("event_id", F.round("filled", 5).alias("filled"))
+    return TL.interpolate(rows, "v", "pos", ["user_id"]).select("event_id", F.round("filled", 8).alias("filled"))
 
 
 @query("role_assignment", """WITH f AS (SELECT conv_id, arg_min(role, turn) FILTER (text LIKE '% with %') AS slate_spk, arg_min(role, turn) FILTER (text LIKE '% what %') AS consent_spk FROM conversations GROUP BY conv_id),
@@ -261,8 +261,8 @@ def _(spark, d):
 _SPOKEN = """spoken AS (SELECT conv_id, turn, role, CASE WHEN conv_id%3=0 THEN 'my study ID is PN-0O' || conv_id || '8 ok' WHEN conv_id%3=1 THEN 'study iv is P p.m. ' || conv_id ELSE 'PIN ' || conv_id END AS text FROM conversations)"""
 
 
-@query("id_recovery", f"""WITH {_SPOKEN}, e AS (SELECT conv_id, role, turn, CASE WHEN regexp_matches(text, '(?i)study\\s*(?:id|iv|i\\.\\s*d\\.?)|i consent to participat') THEN nullif(regexp_extract(text, '(?i)\\b' || {T.PREFIX!r} || {T.BODY!r}, 1),'') END AS a,
- nullif(regexp_extract(text, '(?i)study\\s*(?:id|iv)\\s*(?:is\\s*)?(?:' || {T.PREFIX!r} || ')?' || {T.BODY!r}, 1),'') AS b FROM spoken),
+@query("id_recovery", f"""WITH {_SPOKEN}, e AS (SELECT conv_id, role, turn, CASE WHEN regexp_matches(text, '(?i)study\\s*(?:id|iv|i\\.\\s*d\\.?)|i consent to participat') THEN nullif(regexp_extract(text, '(?i)\\b' || '{T.PREFIX}' || '{T.BODY}', 1),'') END AS a,
+ nullif(regexp_extract(text, '(?i)study\\s*(?:id|iv)\\s*(?:is\\s*)?(?:' || '{T.PREFIX}' || ')?' || '{T.BODY}', 1),'') AS b FROM spoken),
  n AS (SELECT *, regexp_replace(translate(a,'Oo','00'),'[^0-9]','','g') AS da, regexp_replace(translate(b,'Oo','00'),'[^0-9]','','g') AS db FROM e),
  f AS (SELECT conv_id, role, arg_min(da,turn) FILTER (length(da)>0) AS da, arg_min(db,turn) FILTER (length(db)>0) AS db FROM n GROUP BY ALL)
  SELECT conv_id, role, 'PN' || lpad(substr(coalesce(da,db),1,3),3,'0') AS participant_id, CASE WHEN da IS NOT NULL THEN length(da)>3 ELSE true END AS id_needs_review FROM f WHERE da IS NOT NULL OR db IS NOT NULL""")
@@ -283,7 +283,7 @@ def _(spark, d):
     return w.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), "n_chars")
 
 
-@query("sentence_split_chop", r"""WITH s AS (SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), x -> trim(x)), x -> x<>'')) AS s FROM conversations),
+@query("sentence_split_chop", r"""WITH s AS (SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x<>'')) AS s FROM conversations),
  w AS (SELECT conv_id, turn, string_split_regex(s, '\s+') AS w FROM s), c AS (SELECT conv_id, turn, w, unnest(generate_series(0, (len(w)-1)//45)) AS k FROM w)
  SELECT conv_id, turn, count(*) AS n_units, CAST(max(least(45, len(w)-45*k)) AS BIGINT) AS longest FROM c GROUP BY ALL""")
 def _(spark, d):
@@ -423,10 +423,10 @@ def _(spark, d):
     return AL.spectral_speakers(e, "session", "vec_id", "embedding")
 
 
-_LEX = "list_transform(string_split_regex(lower(text), '\\s+'), x -> regexp_replace(x, '[.,!?]+$', ''))"
+_LEX = "list_transform(string_split_regex(lower(text), '\\s+'), lambda x: regexp_replace(x, '[.,!?]+$', ''))"
 
 
-@query("sentiment_stance", f"""WITH w AS (SELECT doc_id, text, exp(least(len(list_filter(w, x -> list_contains({NEGATIVE!r}, x))),20)) AS a, exp(least(len(list_filter(w, x -> list_contains({POSITIVE!r}, x))),20)) AS b FROM (SELECT doc_id, text, {_LEX} AS w FROM documents)),
+@query("sentiment_stance", f"""WITH w AS (SELECT doc_id, text, exp(least(len(list_filter(w, lambda x: list_contains({NEGATIVE!r}, x))),20)) AS a, exp(least(len(list_filter(w, lambda x: list_contains({POSITIVE!r}, x))),20)) AS b FROM (SELECT doc_id, text, {_LEX} AS w FROM documents)),
  p AS (SELECT doc_id, a/(a+b+exp(1)) AS n, exp(1)/(a+b+exp(1)) AS u, b/(a+b+exp(1)) AS p FROM w WHERE trim(text)<>'')
  SELECT doc_id, round(p-n,5) AS tx_valence, CASE WHEN n>=u AND n>=p THEN 'negative' WHEN u>=p THEN 'neutral' ELSE 'positive' END AS tx_emotion_label, CASE WHEN greatest(n,u,p)<0.5 THEN 'mixed' WHEN n>=u AND n>=p THEN 'negative' WHEN u>=p THEN 'neutral' ELSE 'positive' END AS tx_stance FROM p""")
 def _(spark, d):
