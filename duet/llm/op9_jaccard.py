@@ -362,4 +362,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id, with its own columns."""
     kept = jaccard_groups(docs).where("keep").select("rid")
-    return with_row_id(docs, *docs.columns).join(kept, "rid", "left_semi").select(*docs.columns)
+    names = [f"k{i}" for i in range(len(docs.columns))]  # own columns may have any names
+    return with_row_id(docs.toDF(*names), *names).join(kept, "rid", "left_semi").select(*names).toDF(*docs.columns)
