@@ -15,7 +15,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import regex
@@ -198,7 +198,7 @@ class Splitter:
 class WordBpe:
     """Encoder and decoder for the vocabulary with word ends. Build once per worker; ``keep`` bounds the chunks remembered."""
 
-    def __init__(self, spec_json: str, keep: int = 600_000) -> None:
+    def __init__(self, spec_json: str, keep: int = 700_000) -> None:
         self.m = _merges(spec_json)
         self.split = Splitter(spec_json, WORD_PATTERN)
         self.keep = keep
@@ -206,10 +206,28 @@ class WordBpe:
 
     def forget(self) -> None:
         self.seen: dict[bytes, int] = {}
-        self.word: dict[str | bytes, int] = {}
         self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.hits = np.empty(0, np.int32)
+        self.forget_words()
+
+    def forget_words(self) -> None:
+        self.word: dict[str | bytes | int, int] = {}
         self.word_flat, self.word_start, self.word_size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
+    def thin(self) -> None:
+        """Keep the chunks that came up again since they were learned, where that is too many the commonest half."""
+        again = np.flatnonzero(self.hits > 1)
+        if len(again) > self.keep // 2:
+            again = again[self.hits[again] > np.sort(self.hits[again])[-(self.keep // 2)]]
+        names = list(self.seen)  # in the order of their numbers
+        flat, size = self.flat[ranges(self.start[again], self.size[again])], self.size[again]
+        kept = [names[i] for i in again.tolist()]
+        hits = self.hits[again]
+        if len(self.word) > self.keep // 2:
+            self.forget_words()
+        self.seen = dict(zip(kept, range(len(kept))))
+        self.flat, self.size, self.start, self.hits = flat, size, np.cumsum(size) - size, np.minimum(hits, 1000)
+
     def learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that hold no ASCII white space and remember them."""
         odd = ODD.search
@@ -250,19 +268,25 @@ class WordBpe:
         self.start = np.concatenate([self.start, len(self.flat) + begin])
         self.size = np.concatenate([self.size, end - begin])
         self.flat = np.concatenate([self.flat, self.word_flat[ranges(self.word_start[at], sizes)]])
+        self.hits = np.concatenate([self.hits, np.zeros(len(chunks), np.int32)])
         self.seen.update(zip(ascii_ + latin + rest, range(n, n + len(chunks))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 texts laid end to end, and how many each text has."""
         cut = [t.split() for t in texts]
-        new = set().union(*cut) if cut else set()
-        if len(self.seen) + len(new) > self.keep:
-            self.forget()
-        new = list(new.difference(self.seen))
-        for k in range(0, len(new), 50_000):
-            self.learn(new[k : k + 50_000])
         n = np.fromiter(map(len, cut), np.int64, len(cut))
-        at = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(cut)), np.int64, int(n.sum()))
+        if len(self.seen) > self.keep:
+            self.thin()
+        flat = list(chain.from_iterable(cut))
+        at = np.fromiter(map(self.seen.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            names = [flat[i] for i in missing.tolist()]
+            new = list(dict.fromkeys(names))
+            for k in range(0, len(new), 50_000):
+                self.learn(new[k : k + 50_000])
+            at[missing] = np.fromiter(map(self.seen.__getitem__, names), np.int64, len(names))
+        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
         sizes = self.size[at]
         ids = self.flat[ranges(self.start[at], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])

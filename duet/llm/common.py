@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import struct
 import tempfile
 import uuid
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a numpy pass holds at once in a Python worker.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of a batch on its way to a Python worker; texts can be long, and a fixed number of rows would hold too much.
+BATCH_BYTES = 4 << 20
 #: Stand-in order of a null id: before every other.
 NULL_ID = -(1 << 63)
 
@@ -61,7 +64,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
+    """mapInArrow with this package at hand on the executors and batches bounded in bytes (a session setting, lowered if it is higher)."""
+    spark = df.sparkSession
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) != BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
