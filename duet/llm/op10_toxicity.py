@@ -9,7 +9,8 @@ Scoring. Forward-backward marginals of all blocks give the strongest toxic margi
 of a text; a logistic calibration on the labelled sample turns both into the score. Only words are looked at: labels, lang,
 source and ids are never inputs. Tokens with a marginal of at least one half are the offending spans.
 
-The sample takes at most ``PER_CLASS`` labelled rows of each class, in the order of a hash of the id; ids with crc32 mod 3
+The sample takes at most ``PER_CLASS`` labelled rows of each class, in the order of a hash of the id, and of these at most
+``MAX_BLOCKS`` blocks with known features fit the field; ids with crc32 mod 3
 equal to 1 are held out. Null and empty texts get the score of a text without tokens. Repeated rows score alike; without
 labels of both classes every score is the calibrated prior 0. Other columns are ignored, and kept by ``keep``.
 """
@@ -17,6 +18,7 @@ labels of both classes every score is the calibrated prior 0. Other columns are
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -28,7 +30,7 @@ from .common import arrow_map, in_chunks
 
 #: Labelled rows of each class that training may use, and features that the model may have.
 PER_CLASS, MAX_FEATURES = 4000, 4096
-BLOCK = 64
+BLOCK, MAX_BLOCKS = 64, 20_000
 THRESHOLD = 0.7
 _EDGE = re.compile(rb"^[^a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff]+$")
 
@@ -157,9 +159,9 @@ def training_rows(rows: DataFrame, features: dict[str, int]) -> list:
     return arrow_map(rows, run, "toxic boolean, n long, at array<long>, kinds array<string>").collect()
 
 
-def fit(rows: list, n_features: int, rounds: int = 60, rate: float = 0.3, decay: float = 1e-3, max_blocks: int = 20_000) -> dict:
+def fit(rows: list, n_features: int, rounds: int = 60, rate: float = 0.3, decay: float = 1e-3, max_blocks: int = MAX_BLOCKS) -> dict:
     """Weights, bias, transitions and calibration. rows: what training_rows gives, in any order."""
-    rows = sorted(rows, key=lambda r: (r["toxic"], r["n"], tuple(r["at"]), tuple(r["kinds"])))
+    rows = sorted(rows, key=lambda r: (zlib.crc32(repr((r["n"], r["at"], r["kinds"])).encode()), r["n"], r["toxic"]))  # both classes mixed, in an order of the content's own
     empty: Counter = Counter()
     emit_at, lens, gold = [], [], []
     for r in rows:
