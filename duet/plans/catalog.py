@@ -516,3 +516,6 @@ def _(spark, d):
     rows = table(spark, d, "labels")
     both = rows.select("doc_id", F.col("quality").alias("v")).unionByName(rows.select("doc_id", (1 - F.col("toxic")).alias("v")))
     return S.krippendorff_alpha(both, "doc_id", "v").withColumn("alpha", F.round("alpha", 6))
+
+
+from . import worksheets  # noqa: E402,F401  registers its queries
