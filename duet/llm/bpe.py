@@ -53,7 +53,9 @@ class Merges:
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
-        keys = left << 20 | right
+        # Half a word holds an id of the usual vocabularies, and a shorter key is found faster.
+        self.bits, kind = (16, np.uint32) if max(vocab.values()) < 1 << 16 else (31, np.uint64)
+        keys = (left << self.bits | right).astype(kind)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.rank = order.astype(np.int32)
@@ -71,7 +73,8 @@ class Merges:
     def table(self) -> dict[tuple[int, int], tuple[int, int]]:
         """(left, right) to (rank, product), for the few words that don't fit the batched rounds."""
         if not hasattr(self, "_table"):
-            left, right = (self.keys >> 20).tolist(), (self.keys & 0xFFFFF).tolist()
+            keys = self.keys.astype(np.int64)
+            left, right = (keys >> self.bits).tolist(), (keys & (1 << self.bits) - 1).tolist()
             self._table = dict(zip(zip(left, right), zip(self.rank.tolist(), self.made.tolist())))
         return self._table
 
@@ -94,18 +97,20 @@ def merge(m: Merges, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.
     too many rounds and are merged by a heap of pairs, with the same result.
     """
     n_words = len(lens)
-    word = np.repeat(np.arange(n_words), lens)
+    word = np.repeat(np.arange(n_words, dtype=np.int32), lens)
+    kind = m.keys.dtype
     done_s, done_w = [], []
     if len(lens) and lens.max() > LONG:
         starts = np.cumsum(lens) - lens
         for w in np.flatnonzero(lens > LONG).tolist():
             out = np.array(_merge_long(m, sym[starts[w] : starts[w] + lens[w]].tolist()), np.int32)
             done_s.append(out)
-            done_w.append(np.full(len(out), w))
+            done_w.append(np.full(len(out), w, np.int32))
         short = lens[word] <= LONG
         sym, word = sym[short], word[short]
     while len(sym) > 1:
-        key = sym[:-1].astype(np.int64) << 20 | sym[1:]
+        key = sym.astype(kind)
+        key = key[:-1] << kind.type(m.bits) | key[1:]
         at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
         hit = (m.keys[at] == key) & (word[:-1] == word[1:])
         rank = np.full(len(sym), _NONE, np.int32)
@@ -123,7 +128,7 @@ def merge(m: Merges, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.
         edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         least = np.repeat(np.minimum.reduceat(rank, edge), np.diff(np.append(edge, len(word))))
         low = rank == least
-        i = np.arange(len(sym))
+        i = np.arange(len(sym), dtype=np.int32)
         start = np.maximum.accumulate(np.where(low & ~np.append(False, low[:-1]), i, 0))
         pick = np.flatnonzero(low & ((i - start) % 2 == 0))  # of a run of equal symbols every second pair
         sym = sym.copy()
@@ -198,7 +203,7 @@ class Splitter:
 class WordBpe:
     """Encoder and decoder for the vocabulary with word ends. Build once per worker; ``keep`` bounds the chunks remembered."""
 
-    def __init__(self, spec_json: str, keep: int = 700_000) -> None:
+    def __init__(self, spec_json: str, keep: int = 1_000_000) -> None:
         self.m = _merges(spec_json)
         self.split = Splitter(spec_json, WORD_PATTERN)
         self.keep = keep

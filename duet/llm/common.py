@@ -23,6 +23,7 @@ BATCH_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
 
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -52,7 +53,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/duet-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/duet-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return f"{folder}/{name}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that operators of this application wrote to the shared folder; results not yet read are lost."""
+    for folder in _written.pop(spark.sparkContext.applicationId, []):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -500,3 +500,15 @@ def test_packing():
     x, y = unpack(pack(a, b), "i8", "f8")
     assert x.tolist() == a.tolist() and y.tolist() == [1.5]
     assert ranges([5, 0, 9], [2, 0, 3]).tolist() == [5, 6, 9, 10, 11]
+
+
+def test_cleanup(spark):
+    import os
+
+    from duet.llm import common
+
+    df = common.materialize(spark.range(3).toDF("x"), "some")
+    folder = common._written[spark.sparkContext.applicationId][-1]
+    assert df.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+    common.cleanup(spark)
+    assert not os.path.isdir(folder.removeprefix("file:"))
