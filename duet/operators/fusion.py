@@ -58,19 +58,11 @@ def stratified_sample(df: DataFrame, strata: list[str], target: int, id_col: str
 
 
 def forced_sample(sampled: DataFrame, forced: DataFrame, target: int, id_col: str, seed: int = 11) -> DataFrame:
-    """All forced rows, and of the sampled others as many as reach the target."""
-    both = forced.withColumn("__first", F.lit(0)).unionByName(sampled.withColumn("__first", F.lit(1)))
-    once = dedupe_first(both, [id_col], ["__first"])
-    most = forced.select(id_col).distinct().agg(F.greatest(F.count("*"), F.lit(target)).alias("__most"))
-    return _head(once, most, id_col, seed)
-
-
-def _head(rows: DataFrame, most: DataFrame, id_col: str, seed: int) -> DataFrame:
-    """Forced rows pass; the others up to the room that is left, counted by rank among them (a bounded sample by then)."""
-    others = rows.where("__first = 1").withColumn("__rank", F.row_number().over(Window.orderBy(sampling_key(id_col, seed), id_col)))
-    forced = rows.where("__first = 0")
-    room = forced.agg(F.count("*").alias("__forced")).crossJoin(most).select((F.col("__most") - F.col("__forced")).alias("__room"))
-    return forced.drop("__first").unionByName(others.crossJoin(F.broadcast(room)).where("__rank <= __room").drop("__first", "__rank", "__room"))
+    """All forced rows, and of the sampled others as many, in sampling order, as reach the target."""
+    ids = forced.select(id_col).distinct()
+    room = max(0, target - ids.count())
+    others = dedupe_first(sampled.join(ids, id_col, "left_anti").select(*sampled.columns), [id_col], [sampling_key(id_col, seed)])
+    return dedupe_first(forced, [id_col], [sampling_key(id_col, seed)]).unionByName(others.orderBy(sampling_key(id_col, seed), id_col).limit(room))
 
 
 def annotation_sample(df: DataFrame, session: str, topic: str, value: str, flag: str, id_col: str, target: int = 400, seed: int = 7) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_number
-from .stats import agreement, corr
+from .stats import agreement, corr, group_quantiles
 from .timeline import context
 
 
@@ -73,11 +73,10 @@ def low_coverage(df: DataFrame, coverage: str = "coverage", least: float = 0.6)
 def frame_percentiles(df: DataFrame, by: list[str], power: str) -> DataFrame:
     """Per group of frames: number, level of the loudest, RMS level, signal-to-noise estimate and speech share."""
     db = lambda x, k: k * F.log10(F.greatest(x, F.lit(1e-12)))
-    q = df.groupBy(*by).agg(F.count("*").alias("n"), F.max(power).alias("__max"), F.avg(power).alias("__mean"), F.percentile(power, F.array(F.lit(0.1), F.lit(0.95))).alias("__q"))
-    rows = df.join(F.broadcast(q), by)
-    speech = rows.groupBy(*by).agg(F.avg((F.col(power) >= F.greatest(F.col("__q")[0], F.lit(1e-12)) * 10**1.2).cast("double")).alias("speech_frac"))
-    out = q.select(*by, "n", db(F.col("__max"), 10).alias("peak_db"), db(F.col("__mean"), 10).alias("rms_db"), (db(F.col("__q")[1], 10) - db(F.col("__q")[0], 10)).alias("snr_est_db"))
-    return out.join(speech, by)
+    q = F.broadcast(group_quantiles(df, by, power, [0.1, 0.95]))  # a row for each group
+    speech = (F.col(power) >= F.greatest(F.col("q")[0], F.lit(1e-12)) * 10**1.2).cast("double")
+    rows = df.join(q, by).groupBy(*by).agg(F.count("*").alias("n"), F.max(power).alias("__max"), F.avg(power).alias("__mean"), F.first("q").alias("__q"), F.avg(speech).alias("speech_frac"))
+    return rows.select(*by, "n", db(F.col("__max"), 10).alias("peak_db"), db(F.col("__mean"), 10).alias("rms_db"), (db(F.col("__q")[1], 10) - db(F.col("__q")[0], 10)).alias("snr_est_db"), "speech_frac")
 
 
 def cosine_topk(df: DataFrame, by: str, id_col: str, unit: str, k: int = 3) -> DataFrame:

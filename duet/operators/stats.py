@@ -9,19 +9,24 @@ from pyspark.sql import functions as F
 
 
 def zscore(df: DataFrame, columns: dict[str, str], by: list[str], missing: str = "zero") -> DataFrame:
-    """Add within-group z-scores {source: target} by one shared window, so one exchange serves all measures.
+    """Add within-group z-scores {source: target}.
 
-    Sample deviation; a group of one or without spread gives 0. A missing measure gives 0 as well, or null with
-    ``missing="null"``.
+    Group means and deviations are one partial aggregation, joined back: broadcast where groups are few, else a join that
+    can be split, so that a group with a third of all rows isn't one task as in a window. Sample deviation; a group of one
+    or without spread gives 0. A missing measure gives 0 as well, or null with ``missing="null"``.
     """
-    g = Window.partitionBy(*by)
-    out = {}
-    for source, target in columns.items():
-        x = F.col(source).cast("double")
-        z = (x - F.avg(x).over(g)) / F.nullif(F.stddev_samp(x).over(g), F.lit(0.0))
-        z = F.coalesce(z, F.lit(0.0))
-        out[target] = z if missing == "zero" else F.when(x.isNotNull(), z)
-    return df.withColumns(out)
+    keys = [f"__k{i}" for i in range(len(by))]
+    sums = [f(F.col(c).cast("double")).alias(f"__{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_samp))]
+    stats = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys)]).agg(*sums)
+    same = F.lit(True)
+    for c, k in zip(by, keys):
+        same = same & df[c].eqNullSafe(stats[k])
+    out = []
+    for i, (source, target) in enumerate(columns.items()):
+        x = df[source].cast("double")
+        z = F.coalesce((x - F.col(f"__m{i}")) / F.nullif(F.col(f"__s{i}"), F.lit(0.0)), F.lit(0.0))
+        out.append((z if missing == "zero" else F.when(x.isNotNull(), z)).alias(target))
+    return df.join(stats, same, "left").select(*[df[c] for c in df.columns], *out)
 
 
 def corr(a: str, b: str, least: int = 2) -> Column:
@@ -32,31 +37,73 @@ def corr(a: str, b: str, least: int = 2) -> Column:
     return F.when((n >= least) & (spread > 0), F.covar_pop(x, y) / F.sqrt(F.nullif(spread, F.lit(0.0))))
 
 
+def group_quantiles(df: DataFrame, by: list[str], column: str, probs: list[float], bins: int = 512) -> DataFrame:
+    """Exact, linearly interpolated quantiles of few groups of any size: (by..., q array), nulls left out.
+
+    ``percentile`` would hold all of a group's values in one task. Here each needed rank has an interval of values; a round
+    counts the values of the intervals by bin and narrows each to the bin that holds its rank, until that holds one value. What
+    reaches the driver is a row for each group, rank and bin. For many small groups ``percentile`` is the better tool.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("__x"))
+    key = lambda r: tuple(r[c] for c in by)
+    state: dict[tuple, dict[int, list]] = {}
+    counts = {}
+    for r in rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).collect():
+        if r["n"]:
+            counts[key(r)] = r["n"]
+            ranks = {k for p in probs for k in (math.floor((r["n"] - 1) * p), math.ceil((r["n"] - 1) * p))}
+            state[key(r)] = {k: [r["lo"], r["hi"], 0] for k in ranks}  # interval, and how many values lie below it
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in by]
+    while open_ := [(*g, k, lo, hi) for g, ranks in state.items() for k, (lo, hi, _) in ranks.items() if lo < hi]:
+        table = spark.createDataFrame(open_, ", ".join([*kinds, "__k long", "__lo double", "__hi double"]))
+        part = rows.join(F.broadcast(table), by) if by else rows.crossJoin(F.broadcast(table))
+        part = part.where("__x >= __lo and __x <= __hi").withColumn("__bin", F.least(F.lit(bins - 1), F.floor((F.col("__x") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins)))
+        found: dict[tuple, list] = {}
+        for r in part.groupBy(*by, "__k", "__bin").agg(F.count("*").alias("n"), F.min("__x").alias("lo"), F.max("__x").alias("hi")).collect():
+            found.setdefault((key(r), r["__k"]), []).append((r["lo"], r["hi"], r["n"]))
+        for (g, k), held in found.items():
+            below = state[g][k][2]
+            for lo, hi, n in sorted(held):
+                if below + n > k:
+                    state[g][k] = [lo, hi, below]
+                    break
+                below += n
+    out = []
+    for g, n in counts.items():
+        q = []
+        for p in probs:
+            h = (n - 1) * p
+            a, b = state[g][math.floor(h)][0], state[g][math.ceil(h)][0]
+            q.append(a + (b - a) * (h - math.floor(h)))
+        out.append((*g, q))
+    return spark.createDataFrame(out, ", ".join([*kinds, "q array<double>"]))
+
+
 def quantile_bins(df: DataFrame, column: str, labels: tuple[str, ...] = ("low", "mid", "high"), name: str = "val_bin") -> DataFrame:
     """Bins by exact quantiles over all rows, right-closed, the lowest value included; null stays null."""
     n = len(labels)
-    cuts = df.agg(F.percentile(column, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("__cuts"))
+    cuts = (group_quantiles(df, [], column, [i / n for i in range(1, n)]).first() or {"q": [0.0] * (n - 1)})["q"]
     bin_ = F.lit(labels[-1])
     for i in reversed(range(n - 1)):
-        bin_ = F.when(F.col(column) <= F.col("__cuts")[i], labels[i]).otherwise(bin_)
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.when(F.col(column).isNotNull(), bin_)).drop("__cuts")
+        bin_ = F.when(F.col(column) <= cuts[i], labels[i]).otherwise(bin_)
+    return df.withColumn(name, F.when(F.col(column).isNotNull(), bin_))
 
 
 def describe_iqr(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sd, min, quartiles, max and IQR of each measure, one row a measure, in one pass."""
+    """count, mean, sd, min, quartiles, max and IQR of each measure, one row a measure."""
     tall = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in columns])).alias("m")).select("m.*")
-    q = tall.groupBy("measure").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"),
-        F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.max("x").alias("max"),
-    )
-    return q.select("measure", "n", "mean", "sd", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
+    plain = tall.groupBy("measure").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = plain.join(F.broadcast(group_quantiles(tall, ["measure"], "x", [0.25, 0.5, 0.75])), "measure", "left")
+    return out.select("measure", "n", "mean", "sd", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max", (F.col("q")[2] - F.col("q")[0]).alias("iqr"))
 
 
 def value_counts(df: DataFrame, column: str, keep_nulls: bool = False) -> DataFrame:
     """(value, n, share), share of the rows counted."""
     rows = df if keep_nulls else df.where(F.col(column).isNotNull())
+    total = rows.agg(F.count("*").alias("__all"))
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("__all")).drop("__all")
 
 
 def weighted_mean(value: str, weight: str) -> Column:

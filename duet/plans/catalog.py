@@ -370,10 +370,10 @@ def _(spark, d):
     return out.select("x", "y", "expected", F.round("r", 4).alias("r"), "n", "verdict")
 
 
-@query("describe_iqr", " UNION ALL ".join(f"SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}),4) AS mean, round(stddev_samp({c}),4) AS sd, min({c})::DOUBLE AS min, quantile_cont({c},0.25)::DOUBLE AS q25, quantile_cont({c},0.5)::DOUBLE AS q50, quantile_cont({c},0.75)::DOUBLE AS q75, max({c})::DOUBLE AS max, round(quantile_cont({c},0.75)-quantile_cont({c},0.25),4) AS iqr FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
+@query("describe_iqr", " UNION ALL ".join(f"SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}),4) AS mean, round(stddev_samp({c}),4) AS sd, min({c})::DOUBLE AS min, round(quantile_cont({c},0.25),4) AS q25, round(quantile_cont({c},0.5),4) AS q50, round(quantile_cont({c},0.75),4) AS q75, max({c})::DOUBLE AS max, round(quantile_cont({c},0.75)-quantile_cont({c},0.25),4) AS iqr FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount")))
 def _(spark, d):
     out = S.describe_iqr(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
-    return out.withColumns({c: F.round(c, 4) for c in ("mean", "sd", "iqr")})
+    return out.withColumns({c: F.round(c, 4) for c in ("mean", "sd", "q25", "q50", "q75", "iqr")})
 
 
 @query("top_k_worst", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 5")

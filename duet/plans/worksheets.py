@@ -132,8 +132,9 @@ def _(spark, d):
 
 @query("discord_limits", f"WITH {_FUSED} SELECT discord_flag, count(*) AS n, round(quantile_cont(greatest(abs(ac_z),abs(tx_z)),0.99),4) AS p99 FROM fused GROUP BY discord_flag HAVING count(*)>=20")
 def _(spark, d):
-    rows = fused(spark, d).groupBy("discord_flag").agg(F.count("*").alias("n"), F.percentile(F.greatest(F.abs("ac_z"), F.abs("tx_z")), 0.99).alias("p99"))
-    return rows.where("n >= 20").withColumn("p99", F.round("p99", 4))
+    rows = fused(spark, d).groupBy("discord_flag").agg(F.count("*").alias("n"))
+    top = S.group_quantiles(fused(spark, d).withColumn("top", F.greatest(F.abs("ac_z"), F.abs("tx_z"))), ["discord_flag"], "top", [0.99])
+    return rows.where("n >= 20").join(F.broadcast(top), "discord_flag").select("discord_flag", "n", F.round(F.col("q")[0], 4).alias("p99"))
 
 
 @query("shift_by_group", f"""WITH {_FUSED}, m AS (SELECT user_id, avg(fused_valence) FILTER (topic='purchase')-avg(fused_valence) FILTER (topic='view') AS shift FROM fused GROUP BY user_id),

@@ -229,3 +229,15 @@ def test_pipeline_selection():
 def test_reconcile_and_reference(spark):
     a, b = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
     assert {r.status: r.n for r in rollup.reconcile(a, b, "k").collect()} == {"only_left": 1, "only_right": 1, "both": 1}
+
+
+def test_group_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0], 100), "c": np.array([5.0]), "d": rng.exponential(size=64) * 1e6}
+    df = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x] + [("a", None), ("e", None)], "g string, x double")
+    got = {r.g: r.q for r in stats.group_quantiles(df, ["g"], "x", [0.0, 0.1, 1 / 3, 0.99], bins=16).collect()}
+    assert set(got) == set(groups)
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(np.quantile(x, [0.0, 0.1, 1 / 3, 0.99]).tolist())
+    binned = stats.quantile_bins(df.where("g = 'b'"), "x").groupBy("val_bin").count().collect()
+    assert {r.val_bin: r["count"] for r in binned} == {"low": 100, "mid": 100}
