@@ -518,4 +518,4 @@ def _(spark, d):
     return S.krippendorff_alpha(both, "doc_id", "v").withColumn("alpha", F.round("alpha", 6))
 
 
-from . import worksheets  # noqa: E402,F401  registers its queries
+from . import views, worksheets  # noqa: E402,F401  they register their queries
