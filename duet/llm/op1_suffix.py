@@ -37,7 +37,7 @@ SPAN = LENGTH - GRAM + 1
 #: Modulus of the difference cover; the words that sort to its depth hold 32 bytes.
 V = 31
 #: Anchors of a bucket; context bytes that a task settles at once; suffixes sorted at once.
-BUCKET, FLUSH_BYTES, BLOCK = 1 << 15, 8 << 20, 1 << 19
+BUCKET, FLUSH_BYTES, BLOCK = 1 << 14, 4 << 20, 1 << 18
 
 
 @lru_cache(maxsize=1)

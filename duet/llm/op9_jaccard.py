@@ -25,7 +25,7 @@ from .common import arrow_map, by_bucket, components, in_chunks, ints, materiali
 
 WORDS, PERCENT = 5, 80
 #: Text bytes after which a task sends its shingles on, shingles of a bucket, sets and shingles of a block.
-FLUSH_BYTES, BUCKET, BLOCK_SETS, BLOCK_TOKENS = 8 << 20, 1 << 20, 2048, 1 << 21
+FLUSH_BYTES, BUCKET, BLOCK_SETS, BLOCK_TOKENS = 4 << 20, 1 << 20, 2048, 1 << 21
 #: Sets done whose overlaps a task keeps to derive others from.
 KEEP_DONE = 48
 _P = 0x9E3779B97F4A7C15
