@@ -323,7 +323,8 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     listed = materialize(listed.select("cid", "n", F.expr("transform(t, x -> x.token)").alias("t")), "shared")
     # The prefix of n - need + 1 rarest shingles begins with those that are unshared.
     first = listed.select("cid", F.explode(F.slice("t", 1, F.greatest(F.lit(0), F.size("t") - need + 1))).alias("token"))
-    stars = first.join(first.groupBy("token").agg(F.min("cid").alias("hub")), "token").where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
+    hubs = materialize(first.groupBy("token").agg(F.min("cid").alias("hub")), "hubs")
+    stars = first.join(hubs, "token").where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
     cluster = components(stars)
     members = cluster.withColumnRenamed("node", "cid").join(listed, "cid").join(classes.select("cid", "w"), "cid")
     members = materialize(members.withColumn("size", F.size("t")), "members")
