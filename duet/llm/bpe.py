@@ -200,6 +200,25 @@ class Splitter:
         return [w for w in words if w != "\n"], np.diff(end, prepend=-1) - 1
 
 
+class Growing:
+    """An array that is added to; it is copied only when its room runs out."""
+
+    def __init__(self, dtype: type) -> None:
+        self.room, self.n = np.empty(1 << 16, dtype), 0
+
+    def add(self, x: np.ndarray) -> None:
+        if self.n + len(x) > len(self.room):
+            room = np.empty(max(2 * len(self.room), self.n + len(x)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.n]
+
+
 class WordBpe:
     """Encoder and decoder for the vocabulary with word ends. Build once per worker; ``keep`` bounds the chunks remembered."""
 
@@ -211,27 +230,29 @@ class WordBpe:
 
     def forget(self) -> None:
         self.seen: dict[bytes, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.hits = np.empty(0, np.int32)
+        self.flat, self.start, self.size, self.hits = Growing(np.int32), Growing(np.int64), Growing(np.int64), Growing(np.int32)
         self.forget_words()
 
     def forget_words(self) -> None:
         self.word: dict[str | bytes | int, int] = {}
-        self.word_flat, self.word_start, self.word_size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.word_flat, self.word_start, self.word_size = Growing(np.int32), Growing(np.int64), Growing(np.int64)
 
     def thin(self) -> None:
-        """Keep the chunks that came up again since they were learned, where that is too many the commonest half."""
-        again = np.flatnonzero(self.hits > 1)
+        """Keep the chunks that more than one batch of texts had, where that is too many the commonest half."""
+        hits = self.hits.all
+        again = np.flatnonzero(hits > 1)
         if len(again) > self.keep // 2:
-            again = again[self.hits[again] > np.sort(self.hits[again])[-(self.keep // 2)]]
+            again = again[hits[again] > np.sort(hits[again])[-(self.keep // 2)]]
         names = list(self.seen)  # in the order of their numbers
-        flat, size = self.flat[ranges(self.start[again], self.size[again])], self.size[again]
-        kept = [names[i] for i in again.tolist()]
-        hits = self.hits[again]
-        if len(self.word) > self.keep // 2:
-            self.forget_words()
-        self.seen = dict(zip(kept, range(len(kept))))
-        self.flat, self.size, self.start, self.hits = flat, size, np.cumsum(size) - size, np.minimum(hits, 1000)
+        start, size, hits = self.start.all[again], self.size.all[again], np.minimum(hits[again], 1000)
+        flat = self.flat.all[ranges(start, size)]
+        words = self.word, self.word_flat, self.word_start, self.word_size
+        self.forget()
+        if len(words[0]) <= self.keep // 2:
+            self.word, self.word_flat, self.word_start, self.word_size = words
+        self.seen = {names[i]: k for k, i in enumerate(again.tolist())}
+        for array, x in ((self.flat, flat), (self.size, size), (self.start, np.cumsum(size) - size), (self.hits, hits)):
+            array.add(x)
 
     def learn(self, chunks: list[bytes]) -> None:
         """Encode chunks that hold no ASCII white space and remember them."""
@@ -259,21 +280,21 @@ class WordBpe:
         for i, w in enumerate(new):
             if isinstance(w, int):  # a special string's id; "?" kept a single place for it
                 sym[begin[i]] = w
-        n = len(self.word_start)
+        n = self.word_start.n
         self.word.update(zip(new, range(n, n + len(new))))
-        self.word_start = np.concatenate([self.word_start, len(self.word_flat) + begin])
-        self.word_size = np.concatenate([self.word_size, lens])
-        self.word_flat = np.concatenate([self.word_flat, sym])
+        self.word_start.add(self.word_flat.n + begin)
+        self.word_size.add(lens)
+        self.word_flat.add(sym)
         at = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
-        sizes = self.word_size[at]
+        sizes = self.word_size.all[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(np.concatenate(count))])
         begin, end = total[edges[:-1]], total[edges[1:]]
-        n = len(self.start)
-        self.start = np.concatenate([self.start, len(self.flat) + begin])
-        self.size = np.concatenate([self.size, end - begin])
-        self.flat = np.concatenate([self.flat, self.word_flat[ranges(self.word_start[at], sizes)]])
-        self.hits = np.concatenate([self.hits, np.zeros(len(chunks), np.int32)])
+        n = self.start.n
+        self.start.add(self.flat.n + begin)
+        self.size.add(end - begin)
+        self.flat.add(self.word_flat.all[ranges(self.word_start.all[at], sizes)])
+        self.hits.add(np.zeros(len(chunks), np.int32))
         self.seen.update(zip(ascii_ + latin + rest, range(n, n + len(chunks))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -291,9 +312,10 @@ class WordBpe:
             for k in range(0, len(new), 50_000):
                 self.learn(new[k : k + 50_000])
             at[missing] = np.fromiter(map(self.seen.__getitem__, names), np.int64, len(names))
-        self.hits += np.bincount(at, minlength=len(self.hits)).astype(np.int32)
-        sizes = self.size[at]
-        ids = self.flat[ranges(self.start[at], sizes)]
+        hits = self.hits.all
+        hits[at] = hits[at] + 1  # once for each batch of texts
+        sizes = self.size.all[at]
+        ids = self.flat.all[ranges(self.start.all[at], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(n)])
         return ids, ends[edges[1:]] - ends[edges[:-1]]
