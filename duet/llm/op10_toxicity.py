@@ -85,7 +85,7 @@ def select_features(counts: DataFrame, limit: int = MAX_FEATURES, least: int = 3
 class Tagger:
     """Tokens to feature sets, remembered by word."""
 
-    def __init__(self, features: dict[str, int], keep: int = 300_000) -> None:
+    def __init__(self, features: dict[str, int], keep: int = 500_000) -> None:
         self.features, self.keep = features, keep
         self.kind: dict[tuple[int, ...], int] = {(): 0}
         self.seen: dict[bytes, int] = {}
