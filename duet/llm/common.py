@@ -54,15 +54,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     folder = f"{shared_dir(spark)}/duet-{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    written(spark).append(folder)
     return f"{folder}/{name}"
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete the tables that operators of this application wrote to the shared folder; results not yet read are lost."""
-    for folder in _written.pop(spark.sparkContext.applicationId, []):
+def written(spark: SparkSession) -> list[str]:
+    """Folders of the tables that operators of this application wrote, the oldest first."""
+    return _written.setdefault(spark.sparkContext.applicationId, [])
+
+
+def drop_written(spark: SparkSession, start: int = 0, keep: int = 0) -> None:
+    """Delete the tables from number ``start`` on but for the last ``keep``; what hasn't been read from them is lost."""
+    folders = written(spark)
+    end = len(folders) - keep
+    for folder in folders[start:end]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del folders[start:end]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

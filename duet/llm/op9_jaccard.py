@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_bucket, components, in_chunks, ints, materialize, mix, pack, parallelism, ranges, text_bytes, unpack, with_row_id
+from .common import arrow_map, by_bucket, components, drop_written, in_chunks, ints, materialize, mix, pack, parallelism, ranges, text_bytes, unpack, with_row_id, written
 
 WORDS, PERCENT = 5, 80
 #: Text bytes after which a task sends its shingles on, shingles of a bucket, sets and shingles of a block.
@@ -309,7 +309,7 @@ def _join(batches):
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rid, doc_id, n_shingles, component_id, n_links and keep (true for one row of each group) of every row."""
     spark = docs.sparkSession
-    parts = parallelism(spark, 0)
+    parts, tables = parallelism(spark, 0), len(written(spark))
     rows = materialize(sets(docs, id_col, text_col), "sets")
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("cid"), F.min(who).alias("who"), F.count("*").alias("w"), F.first("tokens", ignorenulls=True).alias("tokens"))
@@ -345,7 +345,10 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = full.groupBy("root").agg(F.min("who").alias("head"))
     full = materialize(full.join(heads, "root").select("k1", "k2", "n", "head", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "full")
     out = rows.drop("tokens").join(full, ["k1", "k2", "n"], "left")
-    return out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("head.rid") == F.col("rid"), F.lit(True)).alias("keep"))
+    out = out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("head.rid") == F.col("rid"), F.lit(True)).alias("keep"))
+    out = materialize(out, "groups")
+    drop_written(spark, tables, keep=1)  # all that the groups were made of
+    return out
 
 
 def _binary(batches):

@@ -508,7 +508,7 @@ def test_cleanup(spark):
     from duet.llm import common
 
     df = common.materialize(spark.range(3).toDF("x"), "some")
-    folder = common._written[spark.sparkContext.applicationId][-1]
+    folder = common.written(spark)[-1]
     assert df.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
-    common.cleanup(spark)
+    common.drop_written(spark)
     assert not os.path.isdir(folder.removeprefix("file:"))
