@@ -346,7 +346,7 @@ def _(spark, d):
  SELECT event_id, topic, discord_flag FROM fo UNION ALL SELECT event_id, topic, discord_flag FROM ot WHERE r<=greatest(400,(SELECT count(*) FROM fo))-(SELECT count(*) FROM fo)""")
 def _(spark, d):
     rows = S.quantile_bins(fused(spark, d), "fused_valence")
-    forced = rows.where("discord_flag = 1 and event_id % 10 = 0")
+    forced = rows.where("discord_flag = 1")
     return FU.forced_sample(FU.stratified_sample(rows, ["topic", "val_bin"], 400, "event_id"), forced, 400, "event_id").select("event_id", "topic", "discord_flag")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from duet.functions import scorers
 from duet.functions import text as T
 from duet.operators import align, fusion, models, reports, rollup, stats, timeline, turns
-from duet.plans import pipeline
+from duet.plans import catalog, pipeline
 from duet.sources import documents, tables
 
 
@@ -241,3 +241,24 @@ def test_group_quantiles_are_exact(spark):
         assert got[g] == pytest.approx(np.quantile(x, [0.0, 0.1, 1 / 3, 0.99]).tolist())
     binned = stats.quantile_bins(df.where("g = 'b'"), "x").groupBy("val_bin").count().collect()
     assert {r.val_bin: r["count"] for r in binned} == {"low": 100, "mid": 100}
+
+
+def test_forced_sample_below_and_above_the_target(spark):
+    rows = spark.createDataFrame([(i, i % 2, int(i < 6)) for i in range(40)], "i long, g int, discord_flag int")
+    sampled = fusion.stratified_sample(rows, ["g"], 10, "i")
+    others = {r.i for r in sampled.where("discord_flag = 0").collect()}
+    for target, n in ((8, 2), (6, 0), (3, 0)):  # six forced rows: room for others, none, and more forced rows than the target
+        got = [r.i for r in fusion.forced_sample(sampled, rows.where("discord_flag = 1"), target, "i").collect()]
+        assert len(got) == len(set(got)) == 6 + n
+        assert set(range(6)) <= set(got) and set(got) - set(range(6)) <= others
+
+
+def test_forced_sample_query_takes_every_discordant_row(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = catalog.fused(spark, folder)
+    want = {r.event_id for r in rows.where("discord_flag = 1").collect()}
+    got = {r.event_id: r.discord_flag for r in catalog.QUERIES["forced_sample"](spark, folder).collect()}
+    assert {i for i, flag in got.items() if flag == 1} == want
+    sampled = {r.event_id for r in catalog.QUERIES["stratified_sample"](spark, folder).collect()}
+    assert set(got) - want <= sampled
+    assert len(got) == max(len(want), min(400, len(want | sampled)))
