@@ -29,12 +29,13 @@ class LexiconSentiment:
     def apply(self, df: DataFrame, text: str) -> DataFrame:
         words = F.transform(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.regexp_replace(w, r"[.,!?]+$", ""))
         hits = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(*lexicon))).cast("double")
-        a, b = (F.exp(F.least(hits(lexicon), F.lit(20.0))) for lexicon in (self.negative, self.positive))
-        out = df.withColumn("__neg", a).withColumn("__pos", b)
-        total = F.col("__neg") + F.col("__pos") + F.exp(F.lit(1.0))
+        out = df.withColumn("__neg", hits(self.negative)).withColumn("__pos", hits(self.positive))
+        top = F.greatest("__neg", "__pos", F.lit(1.0))  # taken off before exp, so that no number of hits overflows
+        out = out.withColumns({"__neg": F.exp(F.col("__neg") - top), "__pos": F.exp(F.col("__pos") - top), "__neu": F.exp(1.0 - top)})
+        total = F.col("__neg") + F.col("__pos") + F.col("__neu")
         blank = F.col(text).isNull() | (F.trim(text) == "")
-        out = out.withColumns({"tx_p_negative": F.when(~blank, F.col("__neg") / total), "tx_p_neutral": F.when(~blank, F.exp(F.lit(1.0)) / total), "tx_p_positive": F.when(~blank, F.col("__pos") / total)})
-        return out.withColumns({"tx_valence": F.col("tx_p_positive") - F.col("tx_p_negative"), "tx_emotion_label": top_class(), "tx_stance": stance()}).drop("__neg", "__pos")
+        out = out.withColumns({"tx_p_negative": F.when(~blank, F.col("__neg") / total), "tx_p_neutral": F.when(~blank, F.col("__neu") / total), "tx_p_positive": F.when(~blank, F.col("__pos") / total)})
+        return out.withColumns({"tx_valence": F.col("tx_p_positive") - F.col("tx_p_negative"), "tx_emotion_label": top_class(), "tx_stance": stance()}).drop("__neg", "__pos", "__neu")
 
 
 def top_class() -> Column:

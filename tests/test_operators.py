@@ -168,6 +168,15 @@ def test_scorer_stance(spark):
     assert got[""] == (None, None) and got["good good"][0] == "positive" and got["good bad"][1] == 0 and got["plain"][0] == "neutral" or got["plain"][0] == "mixed"
 
 
+def test_scorer_has_no_cap_on_hits(spark):
+    texts = ["bad " * 21 + "good " * 318, "bad " * 59 + "good " * 30, "bad " * 25 + "good " * 25, "good " * 2000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: (r.tx_emotion_label, r.tx_stance, r.tx_valence) for r in scorers.LexiconSentiment(["good"], ["bad"]).apply(df, "t").collect()}
+    assert got[0] == ("positive", "positive", 1.0) and got[3] == ("positive", "positive", 1.0)
+    assert got[1][:2] == ("negative", "negative") and got[1][2] == pytest.approx(-1, abs=1e-9)
+    assert got[2] == ("negative", "mixed", 0.0)  # a true tie
+
+
 def test_codebook(spark):
     page = "# Book\n\n## Domain A — Care\n\n### A1 `builds_trust` — Builds trust\nMakes people\nfeel safe.\n\n- *x*\n### A2 `listens` — Listens\nHears.\n## Domain B — Flow\n### B1 `speed` — Faster\nQuick work.\n"
     got = documents.parse_codebook(spark.createDataFrame([(page,)], "v string"), "v").orderBy("code_id").collect()
