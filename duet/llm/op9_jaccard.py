@@ -201,10 +201,12 @@ def _assemble(batches):
         yield pa.RecordBatch.from_arrays([pa.array(base + np.arange(len(n))), pa.array(ids, mask=null), pa.array(n), pa.array(k1), pa.array(k2), pa.array(tokens, pa.binary())], ["rid", "doc_id", "n", "k1", "k2", "tokens"])
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sets(docs: DataFrame, id_col: str, text_col: str, rid_col: str | None = None) -> DataFrame:
     """rid, doc_id, n, set keys and shared tokens of every row; tokens are null where the set can't have a partner."""
     spark = docs.sparkSession
-    frame = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    own = [F.col(rid_col).alias("rid")] if rid_col else []
+    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own)
+    frame = frame if rid_col else with_row_id(frame, "doc_id", "text")
     bits = max(8, (text_bytes(docs, text_col) // 6 // BUCKET).bit_length())
     parts = parallelism(spark, 0)
     sent = arrow_map(frame, _send(bits), _ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket", "base")
@@ -306,11 +308,11 @@ def _join(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["cid", "root", "links"])
 
 
-def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """rid, doc_id, n_shingles, component_id, n_links and keep (true for one row of each group) of every row."""
+def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
+    """rid (that of ``rid_col``, if named), doc_id, n_shingles, component_id, n_links and keep (true for one row of each group) of every row."""
     spark = docs.sparkSession
     parts, tables = parallelism(spark, 0), len(written(spark))
-    rows = materialize(sets(docs, id_col, text_col), "sets")
+    rows = materialize(sets(docs, id_col, text_col, rid_col), "sets")
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("cid"), F.min(who).alias("who"), F.count("*").alias("w"), F.first("tokens", ignorenulls=True).alias("tokens"))
     classes = materialize(classes, "classes")
@@ -364,7 +366,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id, with its own columns."""
-    kept = jaccard_groups(docs).where("keep").select("rid")
+    """One document of each group, the one with the smallest id, with its own columns. The numbers of the rows are written
+    with them, as a second scan may be split otherwise (it depends on the cores alive) and would number them anew."""
     names = [f"k{i}" for i in range(len(docs.columns))]  # own columns may have any names
-    return with_row_id(docs.toDF(*names), *names).join(kept, "rid", "left_semi").select(*names).toDF(*docs.columns)
+    numbered = materialize(with_row_id(docs.toDF(*names), *names), "numbered")
+    kept = jaccard_groups(numbered, f"k{docs.columns.index('doc_id')}", f"k{docs.columns.index('text')}", "rid").where("keep").select("rid")
+    return numbered.join(kept, "rid", "left_semi").select(*names).toDF(*docs.columns)

@@ -419,6 +419,23 @@ def test_op9_stage_keeps_one_of_each_group(spark, edge):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 3, 4, 5, 6, 7, 8, 9], key=repr)
 
 
+def test_op9_stage_when_the_second_scan_is_split_otherwise(spark, real, monkeypatch):
+    want = sorted(r.doc_id for r in op9_jaccard.stage(spark, real, FOLDER).collect())
+    groups, key = op9_jaccard.jaccard_groups, "spark.sql.files.maxPartitionBytes"
+
+    def then_split(*args):
+        out = groups(*args)
+        spark.conf.set(key, "20000")
+        return out
+
+    monkeypatch.setattr(op9_jaccard, "jaccard_groups", then_split)
+    try:
+        got = sorted(r.doc_id for r in op9_jaccard.stage(spark, spark.read.parquet(f"{FOLDER}/documents.parquet"), FOLDER).collect())
+    finally:
+        spark.conf.unset(key)
+    assert got == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
