@@ -9,8 +9,8 @@ Scoring. Forward-backward marginals of all blocks give the strongest toxic margi
 of a text; a logistic calibration on the labelled sample turns both into the score. Only words are looked at: labels, lang,
 source and ids are never inputs. Tokens with a marginal of at least one half are the offending spans.
 
-The sample takes at most ``PER_CLASS`` labelled rows of each class, in the order of a hash of the id, and of these at most
-``MAX_BLOCKS`` blocks with known features fit the field; ids with crc32 mod 3
+The sample takes at most ``PER_CLASS`` labelled rows of each class, in the order of a hash of the id, and of these whole
+texts, in a mixed order, fit the field until ``MAX_BLOCKS`` blocks with known features are reached; ids with crc32 mod 3
 equal to 1 are held out. Null and empty texts get the score of a text without tokens. Repeated rows score alike; without
 labels of both classes every score is the calibrated prior 0. Other columns are ignored, and kept by ``keep``.
 """
@@ -165,6 +165,8 @@ def fit(rows: list, n_features: int, rounds: int = 60, rate: float = 0.3, decay:
     empty: Counter = Counter()
     emit_at, lens, gold = [], [], []
     for r in rows:
+        if len(lens) >= max_blocks:  # a text enters with all its blocks or with none
+            break
         at = np.array(r["at"], np.int64)
         own, own_lens, full, last = blocks(r["n"], at)
         empty[BLOCK] += full
@@ -172,10 +174,9 @@ def fit(rows: list, n_features: int, rounds: int = 60, rate: float = 0.3, decay:
             empty[last] += 1
         ids = [[int(x) for x in k.split()] for k in r["kinds"]]
         for o, size in zip(own.tolist(), own_lens.tolist()):
-            if len(lens) < max_blocks:
-                emit_at.append([(int(p) - o * BLOCK, k) for p, k in zip(at.tolist(), ids) if p // BLOCK == o])
-                lens.append(size)
-                gold.append(r["toxic"])
+            emit_at.append([(int(p) - o * BLOCK, k) for p, k in zip(at.tolist(), ids) if p // BLOCK == o])
+            lens.append(size)
+            gold.append(r["toxic"])
     m = len(lens)
     row = np.array([i for i, b in enumerate(emit_at) for p, k in b for _ in k], np.int64)
     col = np.array([p for b in emit_at for p, k in b for _ in k], np.int64)

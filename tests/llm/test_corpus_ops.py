@@ -491,6 +491,24 @@ def test_op10_chain_equals_enumeration():
         assert z[b] == pytest.approx(math.log(total)) and np.allclose(marginal[b], on / total) and np.allclose(pairs[b], two / total)
 
 
+def test_op10_fit_takes_whole_texts_up_to_its_bound():
+    rng = random.Random(3)
+    rows = []
+    for k in range(40):
+        n = rng.randint(300, 900)
+        at = sorted(rng.sample(range(n), 4))
+        rows.append({"toxic": k % 2 == 1, "n": n, "at": at, "kinds": [str(rng.randint(0, 2) if k % 2 else 3) for _ in at]})
+    rows.sort(key=lambda r: (zlib.crc32(repr((r["n"], r["at"], r["kinds"])).encode()), r["n"], r["toxic"]))
+    bound, held, taken = 20, 0, []
+    for r in rows:
+        if held < bound:
+            taken.append(r)
+            held += len({p // op10_toxicity.BLOCK for p in r["at"]})
+    assert 0 < len(taken) < len(rows)
+    some, bounded = op10_toxicity.fit(taken, 4), op10_toxicity.fit(rows, 4, max_blocks=bound)
+    assert np.allclose(some["w"], bounded["w"]) and some["bias"] == pytest.approx(bounded["bias"]) and np.allclose(some["trans"], bounded["trans"])
+
+
 # --- pipeline and plumbing -------------------------------------------------------------------------------------------
 
 
