@@ -1,11 +1,12 @@
 """Benchmark decontamination by greedy string tiling.
 
-Words are runs of letters and digits, lower-cased. A benchmark item and a document that share a seed of ``MATCH`` words are
+Words are runs of letters and digits, lower-cased; in scripts without spaces between words (Chinese, Japanese, Thai, Lao,
+Khmer, Burmese) every letter is a word. A benchmark item and a document that share a seed of ``MATCH`` words are
 tiled: again and again the longest common run of unmarked words, of ``MATCH`` words at least, is marked in both, until none is
 left; runs are found by rolling Karp-Rabin hashes at falling search lengths and checked word by word. The share of an
 item's words under tiles is its coverage; tiles may lie in any order, so moved passages count. A document with a coverage
-of ``COVER`` or more is contaminated by that item. An item of fewer than ``MATCH`` words has no seed; it contaminates only
-documents that consist of just its words.
+of ``COVER`` or more is contaminated by that item. An item of fewer than ``MATCH`` words is its own seed: it
+contaminates every document that holds all its words as one run, a single word too.
 
 The benchmark is the query set: it is split into blocks of bounded size, each block's seeds are sent to all tasks, and every
 document is compared with every block, so nothing sent grows with the corpus or, at a time, with the benchmark. Null and
@@ -28,11 +29,16 @@ MATCH, COVER = 5, 0.5
 #: Bytes of benchmark text whose seeds are sent to the tasks at a time.
 BLOCK_BYTES = 8 << 20
 _WORD = re.compile(r"[^\W_]+")
+#: Letters of scripts that are written without spaces.
+_DENSE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_ANY_DENSE = re.compile(f"[{_DENSE}]")
+_DENSE_WORD = re.compile(rf"(?=[{_DENSE}])[^\W_]|[^\W_{_DENSE}]+")
 _MOD, _BASE = (1 << 61) - 1, 1_000_003
 
 
 def words_of(text: bytes) -> list[str]:
-    return _WORD.findall(text.decode("utf-8", "replace").lower())
+    s = text.decode("utf-8", "replace").lower()
+    return (_WORD if s.isascii() or not _ANY_DENSE.search(s) else _DENSE_WORD).findall(s)
 
 
 def _common_runs(a: list[int], b: list[int], free_a: list[bool], free_b: list[bool], size: int) -> list[tuple[int, int]]:
@@ -99,36 +105,44 @@ class Seeds:
     def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
         self.number: dict[str, int] = {}
         self.items = []
-        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        short: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         seeds = defaultdict(set)
         for k, (item_id, text) in enumerate(items):
             words = words_of(text)
             ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
             self.items.append((item_id, ids))
-            if 0 < len(words) < MATCH:
-                self.short[tuple(words)].append(k)
+            if 0 < len(ids) < MATCH:
+                short[len(ids)][tuple(ids)].append(k)
             for i in range(len(ids) - MATCH + 1):
                 seeds[tuple(ids[i : i + MATCH])].add(k)
         self.key = {s: sorted(v) for s, v in seeds.items()}
         flat = np.array(list(self.key), np.int64).reshape(-1, MATCH)
         self.hashes = np.unique(self.hash(flat))
+        #: For each length of short items: their words, and the hashes of these.
+        self.short = {n: (dict(v), np.unique(self.hash(np.array(list(v), np.int64)))) for n, v in short.items()}
 
     @staticmethod
     def hash(columns: np.ndarray) -> np.ndarray:
         h = np.zeros(len(columns), np.int64)
-        for k in range(MATCH):
+        for k in range(columns.shape[1]):
             h = h * np.int64(6364136223846793005) + columns[:, k]
         return h
 
     def matches(self, text: bytes) -> list[tuple[int | None, float, int, list[tuple[int, int]]]]:
-        """(item id, coverage, tiles, [(first word of the text, words)]) of the items that share a seed."""
+        """(item id, coverage, tiles, [(first word of the text, words)]) of the items that share a seed; a short item's first place only."""
         words = words_of(text)
         out = []
-        if 0 < len(words) < MATCH:
-            return [(self.items[k][0], 1.0, 1, [(0, len(words))]) for k in self.short.get(tuple(words), ())]
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
         known = np.cumsum(np.append(0, ids == 0))
+        for size, (items, hashes) in self.short.items():
+            at = np.flatnonzero(known[size:] == known[:-size]) if len(ids) >= size else np.zeros(0, np.int64)
+            if not len(at):
+                continue
+            first: dict[tuple[int, ...], int] = {}
+            for p in at[np.isin(self.hash(np.stack([ids[at + k] for k in range(size)], 1)), hashes)].tolist():
+                first.setdefault(tuple(ids[p : p + size].tolist()), p)
+            out += [(self.items[k][0], 1.0, 1, [(p, size)]) for run, p in first.items() for k in items.get(run, ())]
         at = np.flatnonzero(known[MATCH:] == known[:-MATCH]) if len(ids) >= MATCH else np.zeros(0, np.int64)
         if not len(at):
             return out

@@ -279,6 +279,17 @@ def test_op6_finds_moved_and_spares_clean(spark):
     assert op6_decontaminate.find(docs.limit(0), bench).count() == 0 and op6_decontaminate.find(docs, bench.limit(0)).count() == 0
 
 
+def test_op6_short_items_and_scripts_without_spaces(spark):
+    item = "今天天气很好我们一起去公园散步然后回家吃饭"
+    half = "他说" + item[:12] + "但是后来没有去成"
+    docs = spark.createDataFrame([(1, half), (2, "完全不同的一句话没有任何关系"), (3, "before three small words after three small words"), (4, "three small, and then words"), (5, "the answer is Xyzzy"), (6, "three small words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, "Three small words"), (12, "xyzzy")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, [tuple(x) for x in r.tiles]) for r in op6_decontaminate.find(docs, bench).collect()}
+    assert got == {(1, 10): (12 / 21, [(2, 12)]), (3, 11): (1.0, [(1, 3)]), (5, 12): (1.0, [(3, 1)]), (6, 11): (1.0, [(0, 3)])}
+    assert sorted(r.doc_id for r in op6_decontaminate.clean(docs, bench).collect()) == [2, 4]
+    assert op6_decontaminate.words_of("Été 2024, 日本語です ok".encode()) == ["été", "2024", *"日本語です", "ok"]
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
