@@ -9,115 +9,186 @@ are written by ``labelled_pages`` from page templates, so the model needs no lab
 own labelled pages can be given to ``fit``.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page order
-by one line end; nothing else is dropped. Null and empty pages give an empty text; broken markup is read as browsers do
-(implied ends, open elements closed at the end, stray brackets as text). Repeated rows give a row each; columns besides id,
-url and html are ignored.
+by one line end; nothing else is dropped. Text of formulas, buttons and fallbacks counts as text where it stands. Null and
+empty pages give an empty text; broken markup is read much as browsers do (implied ends, open elements closed at the end,
+stray brackets as text). Pages of any length and depth take time in proportion to their length. Repeated rows give a row each, with
+null ids and urls as they are; an empty table gives no rows; columns besides id, url and html are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import arrow_map, in_chunks
+from .common import arrow_map, col, fields, in_chunks
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe object select button math audio video canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
+#: Elements whose content is never markup; without an end tag it goes on to the end of the page, as in browsers.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements that show no text of their own (pictures, form controls, inert markup), however they are nested.
+HIDDEN = frozenset("template svg select datalist annotation annotation-xml".split())
+#: Elements within a line, or around text that stays where it is (formulas, fallbacks of players and drawings).
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big button canvas cite code data del dfn em font i ins kbd label mark math audio video object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input"
+    " mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom menclose mfenced semantics".split()
+)
 #: Elements whose start ends an open element of the same kind, as in HTML's implied end tags.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+_CLOSABLE = frozenset(["p", *CLOSES])
 SCOPE = frozenset("ul ol dl table body html div section article aside nav main form".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+AROUND = frozenset("article main aside nav header footer form section".split())
+_START = re.compile(r"<(?:(/?)([a-zA-Z][^\s/><]*+)|[!?])")
+#: The rest of a tag in which quotes are paired.
+_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ATTR = re.compile(r"""\b(?:class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
 _MARK = re.compile(r"""data-y="?([01])""")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Numeric references of any number of digits; the library's decoder refuses thousands of them.
+_LONG_REFERENCE = re.compile(r"&#(?:0*+([0-9]{8,})|[xX]0*+([0-9a-fA-F]{7,})|(0{8,}+)(?=[0-9])|[xX](0{8,}+)(?=[0-9a-fA-F]));?")
+
+
+def decoded(s: str) -> str:
+    """s with its character references decoded, however long; numbers past the last code point are U+FFFD."""
+    if "&" not in s:
+        return s
+    if "&#" in s:
+        s = _LONG_REFERENCE.sub(lambda m: "\ufffd" if m[1] or m[2] else "&#" if m[3] else "&#x", s)
+    return entities.unescape(s)
 
 
 def parse(page: str, marks: list[str | None] | None = None) -> tuple[list[int], list[tuple], list[tuple[int, str, int]]]:
-    """marks gets each node's data-y, if it has one. (parents, (tag, names of class and id, tag of the section around) of each node, (node, text, link characters) of each block)."""
+    """(parents, (tag, names of class and id, tag of the section around) of each node, (node, text, link characters) of each block).
+
+    One scan: every character is passed once (and once more at the first tag whose quotes have no end: from there on a tag
+    ends at its first bracket), and what an element ends or stands in is known from the element above it, so the
+    time grows with the page, however it is nested. marks gets each node's data-y, if it has one.
+    """
     parent, info, blocks = [-1], [("#root", (), "")], []
     stack = [0]
+    #: For each open element where, up to the nearest element that bounds them, those stand that a start tag may end.
+    near: list[dict[str, int]] = [{}]
+    opened: dict[str, int] = {}
     text: list[str] = []
     links = in_link = 0
-    pos, n = 0, len(page)
+    hidden: list[str] = []
+    hiding: dict[str, int] = {}  # how many of each are open
+    ended: dict[str, int] = {}  # the last end tag of each
+    lower = ""
+    pos, last, paired = 0, page.rfind(">"), True
 
     def flush() -> None:
         nonlocal links
-        s = " ".join(entities.unescape("".join(text)).split())
-        if s:
-            blocks.append((stack[-1], s, min(links, len(s))))
-        text.clear()
+        if text:
+            s = " ".join(decoded("".join(text)).split())
+            if s:
+                blocks.append((stack[-1], s, min(links, len(s))))
+            text.clear()
         links = 0
 
     def add(s: str) -> None:
         nonlocal links
+        if hidden:
+            return
         text.append(s)
         if in_link:
             links += len(s.strip())
 
-    while pos < n:
-        m = _TAG.search(page, pos)
-        if not m:
-            add(page[pos:])
+    def cut(k: int) -> None:
+        """Close the open elements from number k on."""
+        for i in range(k, len(stack)):
+            opened[info[stack[i]][0]] -= 1
+        del stack[k:], near[k:]
+
+    while pos <= last:
+        m = _START.search(page, pos)
+        if not m or m.start() > last:
             break
-        if m.start() > pos:
-            add(page[pos : m.start()])
-        pos = m.end()
-        name = m.group(2) or m.group(5)
-        if not name:
-            continue
-        name, end, attrs = name.lower(), m.group(1) or m.group(4), m.group(3) or m.group(6) or ""
-        if name in RAW and end:
+        at = m.start()
+        if at > pos:
+            add(page[pos:at])
+        name = m[2]
+        if not name:  # a comment or a declaration
+            end = page.find("-->", at + 4) if page.startswith("<!--", at) else page.find(">", at)
+            pos = len(page) if end < 0 else end + (3 if page.startswith("<!--", at) else 1)
             continue
+        rest = _REST.match(page, m.end()) if paired else None
+        paired = paired and rest is not None
+        pos = rest.end() if rest else page.find(">", m.end()) + 1
+        attrs = page[m.end() : pos - 1]
+        name, end = name.lower(), m[1]
         if name in RAW:
-            if attrs.rstrip().endswith("/"):
-                continue
-            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = close.end() if close else n
+            if not end:
+                close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, pos)
+                pos = page.find(">", close.end()) + 1 if close else 0
+                pos = pos or len(page)
+                add(" ")
+            continue
+        if name in HIDDEN:
+            add(" ")
+            if end:
+                while hiding.get(name):
+                    hiding[hidden[-1]] -= 1
+                    if hidden.pop() == name:
+                        break
+            elif not attrs.endswith("/"):
+                if name not in ended:
+                    lower = lower or page.lower()
+                    ended[name] = lower.rfind(f"</{name}")
+                if ended[name] > pos:  # without an end tag it hides nothing
+                    hidden.append(name)
+                    hiding[name] = hiding.get(name, 0) + 1
             add(" ")
             continue
+        if hidden:
+            if hidden[-1] != "svg" or end or name not in BREAKS_OUT:
+                continue
+            hidden.clear()  # as in browsers, a block ends the drawings that it stands in
+            hiding.clear()
         if name in INLINE or name in VOID:
             if name == "a":
                 in_link = 0 if end else 1
-            if name in ("br", "hr", "img", "input", "wbr") and name != "wbr":
+            if name in ("br", "hr", "img", "input"):
                 add(" ")
             if name == "hr":
                 flush()
             continue
         flush()
         if end:
-            for k in range(len(stack) - 1, 0, -1):
-                if info[stack[k]][0] == name:
-                    del stack[k:]
-                    in_link = 0
-                    break
+            if opened.get(name):
+                k = len(stack) - 1
+                while info[stack[k]][0] != name:
+                    k -= 1
+                cut(k)
+                in_link = 0
             continue
         in_link = 0
-        for k in range(len(stack) - 1, 0, -1):
-            open_tag = info[stack[k]][0]
-            if open_tag == "p" or open_tag in CLOSES.get(name, ()):
-                del stack[k:]
-                if open_tag != "p":
-                    break
-            elif open_tag in SCOPE:
-                break
+        ends = max((near[-1].get(x, 0) for x in CLOSES.get(name, ())), default=0) or near[-1].get("p", 0)
+        if ends:
+            cut(ends)
         names = tuple(w.lower() for v in _ATTR.findall(attrs) for w in _NAME.findall(v))
-        around = next((info[k][0] for k in reversed(stack) if info[k][0] in ("article", "main", "aside", "nav", "header", "footer", "form", "section")), "")
+        above = info[stack[-1]]
         parent.append(stack[-1])
-        info.append((name, names, around))
+        info.append((name, names, above[0] if above[0] in AROUND else above[2]))
         stack.append(len(parent) - 1)
+        opened[name] = opened.get(name, 0) + 1
+        near.append({} if name in SCOPE else near[-1] | {name: len(stack) - 1} if name in _CLOSABLE else near[-1])
         if marks is not None:
             marks.append(m[1] if (m := _MARK.search(attrs)) else None)
+    add(page[pos:].partition("<!--")[0])
     flush()
     return parent, info, blocks
 
 
+#: Starts of HTML blocks, which end a drawing that they stand in.
+BREAKS_OUT = frozenset("article aside blockquote body center dd div dl dt footer form h1 h2 h3 h4 h5 h6 header li main nav ol p pre section table ul".split())
+
+
 def _bin(x: float, *edges: float) -> int:
     return sum(x >= e for e in edges)
 
@@ -161,9 +232,41 @@ class Forest:
             depth += d
             base += len(p)
         self.parent = np.array(par, np.int64)
-        depth = np.array(depth, np.int64)
-        order = np.argsort(depth, kind="stable")
-        self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1]) if len(depth) else []
+        self.depth = np.array(depth, np.int64)
+        self.n_levels = int(self.depth.max()) + 1 if len(depth) else 0
+        self._levels: list[np.ndarray] | None = None
+
+    @property
+    def levels(self) -> list[np.ndarray]:
+        if self._levels is None:
+            order = np.argsort(self.depth, kind="stable")
+            self._levels = np.split(order, np.cumsum(np.bincount(self.depth))[:-1]) if len(order) else []
+        return self._levels
+
+    def content(self, score: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Content marginals; trees of few nodes a level are passed node by node."""
+        return self.marginals(score, pair)[0] if 16 * self.n_levels < len(score) else self._by_node(score, pair)
+
+    def _by_node(self, score: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Messages as log odds, one node after the other: children stand behind their parents."""
+        (a, b), (c, d) = pair.tolist()
+
+        def log_add(x: float, y: float) -> float:
+            return x + math.log1p(math.exp(y - x)) if x >= y else y + math.log1p(math.exp(x - y))
+
+        parent, up = self.parent.tolist(), score.tolist()  # log odds of content from the node and what is below it
+        message = [0.0] * len(up)
+        for k in range(len(up) - 1, -1, -1):
+            if (p := parent[k]) >= 0:
+                u = up[k]
+                message[k] = log_add(c, d + u) - log_add(a, b + u)
+                up[p] += message[k]
+        belief = up
+        for k, p in enumerate(parent):
+            if p >= 0:
+                u = belief[p] - message[k]
+                belief[k] += log_add(b, d + u) - log_add(a, c + u)
+        return 1 / (1 + np.exp(np.clip(-np.array(belief), -60, 60)))
 
     def marginals(self, score: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """score: weight of content per node; pair[parent, child]. Content marginals, and joint marginals [node, parent, child]."""
@@ -175,15 +278,13 @@ class Forest:
             m = np.logaddexp(pair[None, :, 0] + up[level, 0, None], pair[None, :, 1] + up[level, 1, None])
             message[level] = m
             np.add.at(up, self.parent[level], m)
-        down = np.zeros((n, 2))
         joint = np.zeros((n, 2, 2))
         belief = up.copy()
         for level in self.levels[1:]:
             p = self.parent[level]
             cavity = belief[p] - message[level]
             j = cavity[:, :, None] + pair[None] + up[level][:, None, :]
-            down[level] = np.logaddexp(cavity[:, 0, None] + pair[None, 0], cavity[:, 1, None] + pair[None, 1])
-            belief[level] = up[level] + down[level]
+            belief[level] += np.logaddexp(cavity[:, 0, None] + pair[None, 0], cavity[:, 1, None] + pair[None, 1])
             j -= j.max((1, 2), keepdims=True)
             j = np.exp(j)
             joint[level] = j / j.sum((1, 2), keepdims=True)
@@ -200,7 +301,7 @@ class Model:
         for parent, info, blocks in parsed:
             for f in node_features(parent, info, blocks):
                 score.append(sum(self.w[k] for x in f if (k := self.features.get(x)) is not None))
-        content, _ = Forest([p for p, _, _ in parsed]).marginals(np.array(score), self.pair)
+        content = Forest([p for p, _, _ in parsed]).content(np.array(score), self.pair)
         out, base = [], 0
         for parent, _, blocks in parsed:
             out.append("\n".join(s for k, s, _ in blocks if content[base + k] >= 0.5))
@@ -371,9 +472,8 @@ def extract(pages: DataFrame, model: Model | None = None, id_col: str = "page_id
             texts = sent.value.texts([r.decode("utf-8", "replace") for r in raw])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    frame = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return arrow_map(frame, run, f"page_id {kinds[0]}, url {kinds[1]}, text string, n_chars long")
+    frame = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), col(html_col).alias("html"))
+    return arrow_map(frame, run, fields(pages, {"page_id": id_col, "url": url_col}, "text string, n_chars long"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
