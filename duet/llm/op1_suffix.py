@@ -4,8 +4,8 @@ A text is its UTF-8 bytes; earlier means a smaller id, then the earlier row, the
 the input and never cross documents.
 
 1. Of equal texts the first stays in the work; in the others every byte repeats (if there are 100).
-2. Every 100-byte window is owned by its anchor, the position of its least 32-byte hash (the leftmost of equals), which
-   depends on the window's content only. Anchors are dealt out by hash, packed; one that occurs once owns no repeat.
+2. Every 100-byte window is owned by an anchor, a position of its least 32-byte hash, which depends on the window's content
+   only. Where one hash is the least of many windows in a row (a letter or a short pattern over and over), one anchor owns as many of them as it reaches. Anchors are dealt out by hash, packed; one that occurs once owns no repeat.
 3. The windows of repeated anchors travel as short contexts, dealt out by anchor hash, so equal windows meet in a bucket.
    A task first settles the contexts that it has twice itself, so a common passage leaves a task once.
 4. A bucket's contexts are suffix-sorted blockwise: ranks of a difference-cover sample (positions whose residue modulo ``V``
@@ -15,8 +15,10 @@ the input and never cross documents.
    earliest member are repeats.
 5. The repeats come back to their documents as stretches; their union is removed.
 
-Null texts are empty and lose nothing. Null ids come first. Repeated rows are documents of their own, the later ones
-removed. Other columns are ignored, and kept by the pipeline stage.
+Equal texts (by digest) and contexts that a task holds twice (byte by byte) are settled before the suffix order, which would put
+them side by side too; they would only make it longer. Null texts are empty and lose nothing. Null ids come first. Repeated
+rows are documents of their own, the later ones removed. Texts of any length are cut in pieces of ``PIECE`` bytes for the search of anchors and sent in contexts.
+An empty table gives no rows. Other columns, whatever their names and types, are ignored, and kept by the pipeline stage.
 """
 
 from __future__ import annotations
@@ -29,15 +31,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import NULL_ID, arrow_map, by_bucket, bytes_of, in_chunks, ints, mix, pack, parallelism, ranges, text_bytes, unpack, with_row_id
+from .common import NULL_ID, Scratch, arrow_map, by_bucket, bytes_of, col, fields, in_chunks, ints, mix, pack, packed, parallelism, ranges, text_bytes, unpack, with_row_id
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Modulus of the difference cover; the words that sort to its depth hold 32 bytes.
 V = 31
-#: Anchors of a bucket; context bytes that a task settles at once; suffixes sorted at once.
-BUCKET, FLUSH_BYTES, BLOCK = 1 << 14, 4 << 20, 1 << 18
+#: Anchors of a bucket, and of a bucket of contexts; context bytes that a task settles at once; suffixes sorted at once; bytes of a
+#: long text that are searched for anchors at once.
+ANCHORS, BUCKET, FLUSH_BYTES, BLOCK, PIECE = 1 << 18, 1 << 14, 4 << 20, 1 << 18, 1 << 20
+#: In an anchor's packed place, the mark of one that stands for several of the same hash.
+_SELF = 128
 
 
 @lru_cache(maxsize=1)
@@ -67,10 +73,12 @@ def words8(raw: np.ndarray) -> np.ndarray:
 
 
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of all windows of the texts: (text, anchor hash, anchor position, first window, windows), positions within the text."""
+    """Of all windows of the texts: (text, anchor hash, anchor position, first window, windows), positions within the text.
+    The number of windows is marked with ``_SELF`` where the anchor stands for several."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     total = int(lens.sum())
-    if total < LENGTH:
+    many = np.maximum(lens - LENGTH + 1, 0)
+    if not many.any():
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     raw = np.frombuffer(b"".join(texts) + b"\0" * 40, np.uint8)
     w = words8(raw)
@@ -78,6 +86,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     h = w[:n] * np.uint64(0x9E3779B97F4A7C15)
     for k, c in ((8, 0xC2B2AE3D27D4EB4F), (16, 0x165667B19E3779F9), (24, 0xD6E8FEB86659FD93)):
         h += mix(w[k : n + k] ^ np.uint64(c)) * np.uint64(c | 1)
+    del w
     h = mix(h)
     low = np.uint64(max(24, total.bit_length()))
     key = (h >> low << low) | np.arange(n, dtype=np.uint64)
@@ -87,16 +96,52 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         size *= 2
     if SPAN > size:
         least = np.minimum(least[: len(least) - (SPAN - size)], least[SPAN - size :])
-    many = np.maximum(lens - LENGTH + 1, 0)
+    del key
     starts = np.cumsum(lens) - lens
     s = ranges(starts, many)
     a = (least[s] & np.uint64((1 << int(low)) - 1)).astype(np.int64)
-    if not len(s):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
     new = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    at, first = a[new], s[new]
+    at, first, own = a[new], s[new], np.diff(np.append(new, len(a)))
+    at, first, own = _reach(at, first, own, h[at], np.searchsorted(np.cumsum(lens), first, side="right"))
     text = np.searchsorted(np.cumsum(lens), at, side="right")
-    return text, h[at].view(np.int64), at - starts[text], first - starts[text], np.diff(np.append(new, len(a)))
+    return text, h[at].view(np.int64), at - starts[text], first - starts[text], own
+
+
+def _reach(at: np.ndarray, first: np.ndarray, own: np.ndarray, h: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of anchors with one hash in a row, only as many as are needed to reach all windows of the stretch: for the first window
+    that has none yet always the last one in it."""
+    same = (h[1:] == h[:-1]) & (text[1:] == text[:-1]) & (first[1:] == first[:-1] + own[:-1])
+    if not same.any():
+        return at, first, own
+    run = np.cumsum(np.append(True, ~same)) - 1
+    size = np.bincount(run)
+    single = size[run] == 1
+    out = [np.stack([at[single], first[single], own[single]])]
+    edge = np.cumsum(size) - size
+    for r in np.flatnonzero(size > 1).tolist():
+        i, j = int(edge[r]), int(edge[r] + size[r])
+        place, window, end = at[i:j], int(first[i]), int(first[j - 1] + own[j - 1])
+        got = []
+        while window < end:
+            p = int(place[np.searchsorted(place, window + SPAN - 1, side="right") - 1])
+            stop = min(end, p + 1)
+            got.append((p, window, (stop - window) | _SELF))
+            window = stop
+        out.append(np.array(got, np.int64).T)
+    at, first, own = np.concatenate(out, 1)
+    order = np.argsort(first, kind="stable")
+    return at[order], first[order], own[order]
+
+
+def _pieces(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts in pieces that share no window, with each piece's text and offset."""
+    out, text, offset = [], [], []
+    for i, t in enumerate(texts):
+        for a in range(0, max(1, len(t) - LENGTH + 1), PIECE):
+            out.append(t[a : a + PIECE + LENGTH - 1])
+            text.append(i)
+            offset.append(a)
+    return out, np.array(text, np.int64), np.array(offset, np.int64)
 
 
 def _order_ties(order: np.ndarray, tie: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -173,36 +218,47 @@ def classes(text: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(orders), np.cumsum(np.concatenate(marks)) - 1
 
 
-_SENT = "bucket long, kind int, rid long, v long, payload binary"
+_SENT = "bucket long, payload binary"
+#: An anchor on its way to its bucket (v: its place, or ``_SETTLED`` for a hash that the task has found twice); a stretch or place of a row.
+_ANCHOR, _PLACE, _SETTLED = np.dtype([("h", "<u8"), ("rid", "<i8"), ("v", "<i8")]), np.dtype([("rid", "<i8"), ("v", "<i8")]), -1
 
 
-def _rows(bucket, kind, rid, v, payload) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((bucket, kind, rid, v, payload), types)], ["bucket", "kind", "rid", "v", "payload"])
+def _rows(bucket: np.ndarray, payload: pa.Array | list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), payload if isinstance(payload, pa.Array) else pa.array(payload, pa.binary())], ["bucket", "payload"])
 
 
 def _aside(rid: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    n = len(rid)
-    return _rows(-1 - rid % 1009, np.ones(n, np.int32), rid, v, pa.nulls(n, pa.binary()))
+    """Places that need no bucket, in buckets below 0."""
+    out = np.empty(len(rid), _PLACE)
+    out["rid"], out["v"] = rid, v
+    return _rows(np.array([-1 - int(rid[0]) % 1009]), [out.tobytes()])
+
+
+def _pairs(rid: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rid)), pa.array(np.ascontiguousarray(v))], ["rid", "v"])
+
+
+def _settled(rows: list[dict]) -> pa.RecordBatch:
+    got = np.frombuffer(b"".join(r["payload"] for r in rows), _PLACE)
+    return _pairs(got["rid"], got["v"])
 
 
 def _send_anchors(bits: int):
+    """Packed anchors by bucket; the work is that of sorting them, whatever the number of buckets."""
+
     def flush(held: list) -> list[pa.RecordBatch]:
         h, rid, v = (np.concatenate(x) for x in zip(*held))
-        order = np.argsort(h.view(np.uint64), kind="stable")
+        h = h.view(np.uint64)
+        order = np.argsort(h, kind="stable")
         h, rid, v = h[order], rid[order], v[order]
         new = np.append(True, h[1:] != h[:-1])
         run = np.cumsum(new) - 1
-        many = np.bincount(run)[run] > 1
+        many = (np.bincount(run)[run] > 1) | np.bincount(run, weights=v & _SELF)[run].astype(bool)
         out = [_aside(rid[many], v[many])] if many.any() else []
-        single, rep = ~many, many & new
-        bucket = (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-        edges = np.arange((1 << bits) + 1)
-        i, j = np.searchsorted(bucket[single], edges), np.searchsorted(bucket[rep], edges)
-        sh, sr, sv, rh = h[single], rid[single], v[single], h[rep]
-        full = [b for b in range(1 << bits) if i[b + 1] > i[b] or j[b + 1] > j[b]]
-        packed = [pack(sh[i[b] : i[b + 1]], sr[i[b] : i[b + 1]], sv[i[b] : i[b + 1]], rh[j[b] : j[b + 1]]) for b in full]
-        out.append(_rows(full, [2] * len(full), [0] * len(full), [0] * len(full), packed))
+        use = ~many | new
+        record = np.empty(int(use.sum()), _ANCHOR)
+        record["h"], record["rid"], record["v"] = h[use], rid[use], np.where(many, _SETTLED, v)[use]
+        out.append(_rows(*packed(record, (record["h"] >> np.uint64(64 - bits)).astype(np.int64))))
         return out
 
     def run(batches):
@@ -210,15 +266,17 @@ def _send_anchors(bits: int):
         size = 0
         for batch, texts in in_chunks(batches, "text"):
             head = batch.column(3).to_pylist()
-            texts = [t if x else b"" for t, x in zip(texts, head)]
             rid = ints(batch.column(0))
-            text, h, at, first, n = anchors(texts)
-            if len(h):
-                held.append((h, rid[text], at << 16 | (at - first) << 8 | n))
-                size += len(h)
-            if size * SPAN // 2 > FLUSH_BYTES:
-                yield from flush(held)
-                held, size = [], 0
+            pieces, owner, offset = _pieces([t if x else b"" for t, x in zip(texts, head)])
+            for k in range(0, len(pieces), 1 if len(pieces) > len(texts) else len(pieces)):
+                part = slice(k, k + 1) if len(pieces) > len(texts) else slice(None)
+                piece, h, at, first, n = anchors(pieces[part])
+                if len(h):
+                    held.append((h, rid[owner[part][piece]], at + offset[part][piece] << 16 | (at - first) << 8 | n))
+                    size += len(h)
+                if size * SPAN // 2 > FLUSH_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
@@ -229,18 +287,14 @@ def _repeated_anchors(batches):
     """(rid, v) of the anchors that occur twice or more."""
     for bucket, rows in by_bucket(batches):
         if bucket < 0:
-            yield pa.RecordBatch.from_arrays([pa.array([r["rid"] for r in rows], pa.int64()), pa.array([r["v"] for r in rows], pa.int64())], ["rid", "v"])
+            yield _settled(rows)
             continue
-        got = [unpack(r["payload"], "i8", "i8", "i8", "i8") for r in rows]
-        h = np.concatenate([g[0] for g in got] + [g[3] for g in got])
-        order = np.argsort(h, kind="stable")
-        new = np.append(True, h[order][1:] != h[order][:-1])
-        run = np.cumsum(new) - 1
-        many = np.zeros(len(h), bool)
-        many[order] = np.bincount(run)[run] > 1
-        rid, v = np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
-        hit = many[: len(rid)]
-        yield pa.RecordBatch.from_arrays([pa.array(rid[hit]), pa.array(v[hit])], ["rid", "v"])
+        got = np.frombuffer(b"".join(r["payload"] for r in rows), _ANCHOR)
+        order = np.argsort(got["h"], kind="stable")
+        got = got[order]
+        run = np.cumsum(np.append(False, got["h"][1:] != got["h"][:-1]))
+        hit = got[((np.bincount(run)[run] > 1) | (got["v"] == _SETTLED)) & (got["v"] != _SETTLED)]
+        yield _pairs(hit["rid"], hit["v"])
 
 
 def _send_contexts(bits: int):
@@ -266,12 +320,11 @@ def _send_contexts(bits: int):
         bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edge = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
-        packed = []
+        blobs = []
         for part in np.split(order, edge[1:]):
             rows = [keep[i] for i in part.tolist()]
-            packed.append(pack(*(np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 3)), np.frombuffer(b"".join(r[5] for r in rows), np.uint8)))
-        n = len(edge)
-        out.append(_rows(bucket[order][edge], [2] * n, [0] * n, [0] * n, packed))
+            blobs.append(pack(*(np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2, 3)), np.frombuffer(b"".join(r[5] for r in rows), np.uint8)))
+        out.append(_rows(bucket[order][edge], blobs))
         return out
 
     def run(batches):
@@ -284,14 +337,14 @@ def _send_contexts(bits: int):
                 if not got.is_valid:
                     continue
                 for v in got.values.to_numpy().tolist():
-                    at, before, n = v >> 16, v >> 8 & 255, v & 255
+                    at, before, n = v >> 16, v >> 8 & 255, v & _SELF - 1
                     first = at - before
                     c = t[first : first + n - 1 + LENGTH]
                     held.append((int(ids[i]), int(rid[i]), first, n, before, c))
-                    size += len(c)
-            if size > FLUSH_BYTES:
-                yield from flush(held)
-                held, size = [], 0
+                    size += len(c) + 100
+                    if size > FLUSH_BYTES:
+                        yield from flush(held)
+                        held, size = [], 0
         if held:
             yield from flush(held)
 
@@ -302,7 +355,7 @@ def _repeated_windows(batches):
     """(rid, v) of stretches whose windows occur earlier; v holds start and length."""
     for bucket, rows in by_bucket(batches):
         if bucket < 0:
-            yield pa.RecordBatch.from_arrays([pa.array([r["rid"] for r in rows], pa.int64()), pa.array([r["v"] for r in rows], pa.int64())], ["rid", "v"])
+            yield _settled(rows)
             continue
         got = [unpack(r["payload"], "i8", "i8", "i8", "i8", "u1") for r in rows]
         ids, rid, first, n = (np.concatenate([g[k] for g in got]) for k in range(4))
@@ -349,18 +402,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     """rid, doc_id, text, the columns ``keep``, head (false: an equal text is earlier) and v, the packed stretches, of every row."""
     spark = docs.sparkSession
     parts = parallelism(spark, 0)
-    names = [f"k{i}" for i in range(len(keep))]
-    frame = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(c).alias(k) for c, k in zip(keep, names)]), "doc_id", "text", *names)
-    bits = max(8, (text_bytes(docs, text_col) * 2 // SPAN // BUCKET).bit_length())
+    names = {f"k{i}": c for i, c in enumerate(keep)}
+    frame = with_row_id(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *[col(c).alias(k) for k, c in names.items()]), "doc_id", "text", *names)
+    frame = Scratch(spark).table(frame, "numbered")
+    many = text_bytes(frame) * 2 // SPAN
+    anchor_bits, bits = max(8, (many // ANCHORS).bit_length()), max(8, (many // BUCKET).bit_length())
     heads = frame.where("text is not null").groupBy(F.unhex(F.md5(F.encode("text", "utf-8"))).alias("m"), F.octet_length("text").alias("n"))
     heads = heads.agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("d"), "rid")).alias("first")).select(F.col("first.rid").alias("rid"), F.lit(True).alias("head"))
     # All three joins ask for the same columns of the texts, so that their one exchange is used again.
     marked = frame.join(heads, "rid", "left").select("rid", "doc_id", "text", F.coalesce("head", F.lit(False)).alias("head"), *names)
-    sent = arrow_map(marked, _send_anchors(bits), _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    again = arrow_map(sent.select("bucket", "rid", "v", "payload"), _repeated_anchors, "rid long, v long").groupBy("rid").agg(F.collect_list("v").alias("at"))
+    sent = arrow_map(marked, _send_anchors(anchor_bits), _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    again = arrow_map(sent, _repeated_anchors, "rid long, v long").groupBy("rid").agg(F.collect_list("v").alias("at"))
     contexts = frame.join(again, "rid", "left").select("rid", "doc_id", "text", "at", *names)
     sent = arrow_map(contexts, _send_contexts(bits), _SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    late = arrow_map(sent.select("bucket", "rid", "v", "payload"), _repeated_windows, "rid long, v long").groupBy("rid").agg(F.collect_list("v").alias("v"))
+    late = arrow_map(sent, _repeated_windows, "rid long, v long").groupBy("rid").agg(F.collect_list("v").alias("v"))
     info = heads.join(late, "rid", "full")
     return frame.join(info, "rid", "left").select("rid", "doc_id", "text", *names, F.coalesce("head", F.lit(False)).alias("head"), "v")
 
@@ -413,13 +468,14 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             gone = pa.array([not (changed and not s) for s, changed in texts], pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), *(batch.column(i) for i in range(3, batch.num_columns))], ["text", *(f"k{i}" for i in range(len(rest)))]).filter(gone)
 
-    names = [f"k{i}" for i in range(len(rest))]
+    names = {f"k{i}": c for i, c in enumerate(rest)}
     found = repeats(docs, id_col, text_col, rest).select("text", "head", "v", *names)
-    kinds = ", ".join(["text string", *(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in zip(names, rest))])
-    out = arrow_map(found, run, kinds).select(F.col("text").alias(text_col), *[F.col(k).alias(c) for k, c in zip(names, rest)])
+    order = [("text" if c == text_col else f"k{rest.index(c)}") for c in columns]
+    out = arrow_map(found, run, StructType([StructField("text", StringType()), *fields(docs, names).fields])).select(*order)
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        k = columns.index("n_chars")
+        out = out.withColumn(order[k], F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.toDF(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
