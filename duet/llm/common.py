@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import tempfile
 import uuid
@@ -14,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Text bytes that a numpy pass holds at once in a Python worker.
 CHUNK_BYTES = 1 << 20
@@ -23,7 +23,6 @@ BATCH_BYTES = 4 << 20
 NULL_ID = -(1 << 63)
 
 _shipped: set[str] = set()
-_written: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,56 +43,100 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``, else the one given to ``setCheckpointDir``.
+
+    A temporary folder is made only in local mode (as in tests), where driver and executors are one process; elsewhere a
+    session without a shared folder is refused, since tables in a machine's own folder would be lost to the others.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = found.get() if found.isDefined() else None
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="duet-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    folder = f"{shared_dir(spark)}/duet-{uuid.uuid4().hex}"
-    written(spark).append(folder)
-    return f"{folder}/{name}"
+class Scratch:
+    """The tables that one call of an operator writes to the shared folder.
 
+    Each call has its own, so calls in other threads are untouched. ``drop`` deletes all but the tables named; what hasn't
+    been read from the others by then is lost.
+    """
 
-def written(spark: SparkSession) -> list[str]:
-    """Folders of the tables that operators of this application wrote, the oldest first."""
-    return _written.setdefault(spark.sparkContext.applicationId, [])
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folders = spark, []
 
+    def path(self, name: str) -> str:
+        folder = f"{shared_dir(self.spark)}/duet-{uuid.uuid4().hex}"
+        self.folders.append(folder)
+        return f"{folder}/{name}"
 
-def drop_written(spark: SparkSession, start: int = 0, keep: int = 0) -> None:
-    """Delete the tables from number ``start`` on but for the last ``keep``; what hasn't been read from them is lost."""
-    folders = written(spark)
-    end = len(folders) - keep
-    for folder in folders[start:end]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del folders[start:end]
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Cut lineage: write df as a table and read it back."""
+        path = self.path(name)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, keep: int = 0) -> None:
+        """Delete the tables written so far but for the last ``keep``."""
+        end = len(self.folders) - keep
+        for folder in self.folders[:end]:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        del self.folders[:end]
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return Scratch(spark).path(name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Cut lineage: write df as a table in the shared folder, where it stays, and read it back."""
+    return Scratch(df.sparkSession).table(df, name)
+
 
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow with this package at hand on the executors and batches bounded in bytes.
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with this package at hand on the executors and batches bounded in bytes (a session setting, lowered if it is higher)."""
+    The bound is a session setting that Spark reads when the plan runs; one that is higher is lowered, and stays so.
+    """
     spark = df.sparkSession
     ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(key)) or 0) != BATCH_BYTES:
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
+def fields(df: DataFrame, columns: dict[str, str], *more: str) -> StructType:
+    """A schema of df's columns under other names (new name to old), whatever their types, and of further fields "name type"."""
+    old = {f.name: f for f in df.schema.fields}
+    own = [StructField(new, old[c].dataType) for new, c in columns.items()]
+    return StructType(own + [f for m in more for f in StructType.fromDDL(m).fields])
+
+
+def col(name: str) -> F.Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def with_row_id(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns and ``rid``, a number of the row that stays the same for the same scan."""
-    return docs.select(*[F.col(c) for c in columns]).withColumn("rid", F.monotonically_increasing_id())
+    """The named columns and ``rid``, a number of the row. A second evaluation may number the rows anew (a scan is split by
+    the cores alive, a shuffle deals in any order), so what is joined by ``rid`` has to be written first."""
+    return docs.select(*[col(c) for c in columns]).withColumn("rid", F.monotonically_increasing_id())
+
+
+def packed(records: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Records in the order of their keys: each key that occurs, and its records' bytes end to end. The cost is the
+    records', however many keys there may be."""
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    ends = (np.append(edge, len(key)) * records.dtype.itemsize).astype(np.int32)
+    data = pa.py_buffer(np.ascontiguousarray(records).tobytes())
+    return key[edge], pa.Array.from_buffers(pa.binary(), len(edge), [None, pa.py_buffer(ends.tobytes()), data])
 
 
 def utf8(text: str | None) -> bytes:
@@ -186,21 +229,22 @@ def by_bucket(batches: Iterator[pa.RecordBatch], key: str = "bucket") -> Iterato
         yield now, held
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, label): the smallest node reachable over the links, for every node on a link.
 
     Minimum labels spread over links, and each node then takes its label's label, so the rounds grow with the
     logarithm of the longest chain. Every round is a table in the shared folder; nothing but a count reaches the driver.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
-    both = materialize(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    labels = materialize(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
+    both = scratch.table(both.unionByName(both.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
+    labels = scratch.table(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
     while True:
         near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.node == near.x).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        step = materialize(step, "step")
+        step = scratch.table(step, "step")
         up = step.select(F.col("node").alias("up"), F.col("new").alias("up_label"))
-        nxt = materialize(step.join(up, step.new == up.up).select("node", F.least("new", "up_label").alias("label"), "old"), "labels")
+        nxt = scratch.table(step.join(up, step.new == up.up).select("node", F.least("new", "up_label").alias("label"), "old"), "labels")
         if nxt.where("label <> old").isEmpty():
             return nxt.select("node", "label")
         labels = nxt.select("node", "label")

@@ -4,24 +4,30 @@
    set has can't be in an intersection; each task first settles those that two of its own sets share, so a very common
    shingle leaves a task once. Back at the documents, a set of which over a fifth is unshared can't have a partner.
 2. What is left is joined exactly, one representative for each class of equal sets: its rarest shared shingles, as many as
-   prefix filtering needs, connect it with every set that may be a partner, and the connected candidates form clusters.
-3. A cluster's sets are gathered in blocks of bounded size, and each pair of blocks is joined by one task: index lists are
+   prefix filtering needs, connect it with every set that may be a partner. Sets are laid out in the order of their connected
+   candidates and, among these, of their least shingle, and cut into blocks of bounded size.
+3. Each block is joined with itself, and two blocks by a task of their own where a set of one shares such a rare shingle with a
+   set of the other and their sizes allow a link; other pairs of blocks are never met. In a task, index lists are
    skipped by position, as sets stand in the order of their size and only those within 0.8 can match; and the overlaps of
    a set with all others are derived from those of a very similar set already done, by the lists of the few shingles in
    which the two differ. Tasks return spanning links and numbers of links, never all pairs.
 
-Null and empty texts have no set and stay alone; under five words the whole sequence is the only shingle. Repeated rows are
-in one group. A null id never names a group that has another id. Other columns are ignored; ids are integers.
+Shingles are compared by hashes of 56 to 64 bits: two different shingles of a pair of sets of 1,000 each count as one with odds of
+under one in 10**10. Null and empty texts have no set and stay alone; under five words the whole sequence is the only shingle. Texts
+of any length are one set. Repeated rows are in one group. A null id never names a group that has another id. An empty table gives no rows. Other columns are
+ignored; ids are integers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, by_bucket, components, drop_written, in_chunks, ints, materialize, mix, pack, parallelism, ranges, text_bytes, unpack, with_row_id, written
+from .common import Scratch, arrow_map, by_bucket, col, components, in_chunks, ints, mix, pack, packed, parallelism, ranges, text_bytes, unpack, with_row_id
 
 WORDS, PERCENT = 5, 80
 #: Text bytes after which a task sends its shingles on, shingles of a bucket, sets and shingles of a block.
@@ -96,6 +102,9 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ROWS = "bucket long, base long, kind int, payload binary"
+#: A shingle on its way to its bucket: the document in its block, or ``_SAME`` for one that several of the block's sets have
+#: and that is settled; and the bits of its hash below those of the bucket.
+_TOKEN, _SAME = np.dtype([("doc", "<u2"), ("high", "<u2"), ("low", "<u4")]), 65_535
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -104,9 +113,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _send(bits: int):
-    """A block of consecutive rows to packed rows: kind 0 the block's roster, 1 shared tokens found here, 2 tokens to compare."""
+    """A block of consecutive rows to packed rows: kind 0 the block's roster, 1 shared tokens found here, 2 tokens to compare.
+    The work is that of sorting the block's tokens, whatever the number of buckets."""
+    shift = np.uint64(max(0, 16 - bits))
 
-    def block(base: int, ids: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[tuple]:
+    def block(base: int, ids: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[pa.RecordBatch]:
         k1, k2 = set_keys(h, n)
         aside = -1 - base % 1009  # rows that need no comparison are spread anyhow
         rows = [(aside, base, 0, pack(ids, n, k1, k2))]
@@ -115,28 +126,25 @@ def _send(bits: int):
         lead[first] = True  # of equal sets one speaks for all
         doc = np.repeat(np.arange(len(n)), n)
         use = lead[doc]
-        h, doc = h[use], doc[use]
+        h, doc = h[use] >> shift, doc[use]
         order = np.argsort(h, kind="stable")
         h, doc = h[order], doc[order]
         new = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
         run = np.cumsum(new) - 1
         size = np.bincount(run) if len(h) else np.zeros(0, np.int64)
         many = size[run] > 1
-        token = (h >> np.uint64(64 - bits - 32)).astype(np.int64)
         if many.any():
-            rows.append((aside, base, 1, pack(doc[many].astype(np.int32), token[many])))
-        bucket = token >> 32
-        low = token.astype(np.uint32)
-        single, rep = ~many, many & new
-        edges = np.arange((1 << bits) + 1)
-        at_single, at_rep = np.searchsorted(bucket[single], edges), np.searchsorted(bucket[rep], edges)
-        s_doc, s_low, r_low = doc[single].astype(np.int32), low[single], low[rep]
-        for b in range(1 << bits):
-            i, j, k, m = at_single[b], at_single[b + 1], at_rep[b], at_rep[b + 1]
-            if j > i or m > k:
-                o = np.argsort(s_doc[i:j], kind="stable")
-                rows.append((b, base, 2, pack(np.diff(s_doc[i:j][o], prepend=0).astype(np.uint16), s_low[i:j][o], r_low[k:m])))
-        return rows
+            rows.append((aside, base, 1, pack(doc[many].astype(np.int32), h[many].view(np.int64))))
+        out = [_batch(rows)]
+        use = ~many | new
+        h, doc, many = h[use], doc[use], many[use]
+        token = np.empty(len(h), _TOKEN)
+        token["doc"] = np.where(many, _SAME, doc)
+        token["high"], token["low"] = (h >> np.uint64(32)).astype(np.uint16), h.astype(np.uint32)
+        bucket, payload = packed(token, (h >> (np.uint64(64 - bits) - shift)).astype(np.int64))
+        m = len(bucket)
+        out.append(pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(m, base)), pa.array(np.full(m, 2, np.int32)), payload], ["bucket", "base", "kind", "payload"]))
+        return out
 
     def run(batches):
         held: list = []
@@ -145,7 +153,7 @@ def _send(bits: int):
             rid = ints(batch.column(2))
             h, n = shingles(texts)
             if held and (size + sum(map(len, texts)) > FLUSH_BYTES or rid[0] != base + count or count + len(texts) > 60_000):
-                yield _batch(block(base, *(np.concatenate(x) for x in zip(*held))))
+                yield from block(base, *(np.concatenate(x) for x in zip(*held)))
                 held, size, count = [], 0, 0
             if not held:
                 base = int(rid[0])
@@ -153,32 +161,37 @@ def _send(bits: int):
             size += sum(map(len, texts))
             count += len(texts)
         if held:
-            yield _batch(block(base, *(np.concatenate(x) for x in zip(*held))))
+            yield from block(base, *(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
-def _compare(batches):
+def _compare(bits: int):
     """Tokens of a bucket that more than one set has, back to their blocks; the other kinds pass through."""
-    for bucket, rows in by_bucket(batches):
-        if bucket < 0:
-            yield _batch([(0, r["base"], r["kind"], r["payload"]) for r in rows])
-            continue
-        got = [unpack(r["payload"], "u2", "u4", "u4") for r in rows]
-        low = np.concatenate([g[1] for g in got] + [g[2] for g in got])
-        src = np.repeat(np.arange(len(got)), [len(g[1]) for g in got])
-        doc = np.concatenate([np.cumsum(g[0].astype(np.int64)) for g in got])
-        order = np.argsort(low, kind="stable")
-        new = np.append(True, low[order][1:] != low[order][:-1])
-        run = np.cumsum(new) - 1
-        many = np.zeros(len(low), bool)
-        many[order] = np.bincount(run)[run] > 1
-        hit = np.flatnonzero(many[: len(doc)])
-        src, doc, token = src[hit], doc[hit].astype(np.int32), low[hit].astype(np.int64) | bucket << 32
-        edge = np.searchsorted(src, np.arange(len(got) + 1))
-        out = [(0, r["base"], 1, pack(doc[a:b], token[a:b])) for r, a, b in zip(rows, edge[:-1], edge[1:]) if b > a]
-        if out:
-            yield _batch(out)
+    under = 64 - max(0, 16 - bits) - bits  # bits of a token below its bucket's
+
+    def run(batches):
+        for bucket, rows in by_bucket(batches):
+            if bucket < 0:
+                yield _batch([(0, r["base"], r["kind"], r["payload"]) for r in rows])
+                continue
+            token = np.frombuffer(b"".join(r["payload"] for r in rows), _TOKEN)
+            src = np.repeat(np.arange(len(rows)), [len(r["payload"]) // _TOKEN.itemsize for r in rows])
+            low = token["high"].astype(np.uint64) << np.uint64(32) | token["low"]
+            order = np.argsort(low, kind="stable")
+            new = np.append(True, low[order][1:] != low[order][:-1])
+            number = np.cumsum(new) - 1
+            many = np.zeros(len(low), bool)
+            many[order] = np.bincount(number)[number] > 1
+            hit = np.flatnonzero(many & (token["doc"] != _SAME))
+            whole = (low[hit] & np.uint64((1 << under) - 1) | np.uint64(bucket << under)).view(np.int64)
+            src, doc = src[hit], token["doc"][hit].astype(np.int32)
+            edge = np.searchsorted(src, np.arange(len(rows) + 1))
+            out = [(0, r["base"], 1, pack(doc[a:b], whole[a:b])) for r, a, b in zip(rows, edge[:-1], edge[1:]) if b > a]
+            if out:
+                yield _batch(out)
+
+    return run
 
 
 _SETS = "rid long, doc_id long, n long, k1 long, k2 long, tokens binary"
@@ -204,13 +217,13 @@ def _assemble(batches):
 def sets(docs: DataFrame, id_col: str, text_col: str, rid_col: str | None = None) -> DataFrame:
     """rid, doc_id, n, set keys and shared tokens of every row; tokens are null where the set can't have a partner."""
     spark = docs.sparkSession
-    own = [F.col(rid_col).alias("rid")] if rid_col else []
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own)
+    own = [col(rid_col).alias("rid")] if rid_col else []
+    frame = docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *own)
     frame = frame if rid_col else with_row_id(frame, "doc_id", "text")
     bits = max(8, (text_bytes(docs, text_col) // 6 // BUCKET).bit_length())
     parts = parallelism(spark, 0)
     sent = arrow_map(frame, _send(bits), _ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket", "base")
-    back = arrow_map(sent, _compare, _ROWS).repartition(parts, "base").sortWithinPartitions("base", "kind")
+    back = arrow_map(sent, _compare(bits), _ROWS).repartition(parts, "base").sortWithinPartitions("base", "kind")
     return arrow_map(back, _assemble, _SETS)
 
 
@@ -308,59 +321,71 @@ def _join(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["cid", "root", "links"])
 
 
+def _cut_blocks(batches):
+    """Sorted sets to blocks of bounded size, numbered by task and place."""
+    part, number, held, size = TaskContext.get().partitionId(), 0, 0, 0
+    for batch in batches:
+        t = batch.column(batch.schema.get_field_index("t"))
+        block = []
+        for n in pc.list_value_length(t).to_pylist():
+            if held and (held >= BLOCK_SETS or size + n > BLOCK_TOKENS):
+                number, held, size = number + 1, 0, 0
+            held, size = held + 1, size + n
+            block.append(part << 32 | number)
+        blobs = pa.array([np.asarray(x.values, np.int64).tobytes() for x in t], pa.binary())
+        get = lambda c: batch.column(batch.schema.get_field_index(c))
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), get("cid"), get("n"), get("w"), blobs], ["block", "cid", "n", "w", "tokens"])
+
+
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
     """rid (that of ``rid_col``, if named), doc_id, n_shingles, component_id, n_links and keep (true for one row of each group) of every row."""
     spark = docs.sparkSession
-    parts, tables = parallelism(spark, 0), len(written(spark))
-    rows = materialize(sets(docs, id_col, text_col, rid_col), "sets")
+    parts, scratch = parallelism(spark, 0), Scratch(spark)
+    rows = scratch.table(sets(docs, id_col, text_col, rid_col), "sets")
     who = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), F.col("rid").alias("rid"))
     classes = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("rid").alias("cid"), F.min(who).alias("who"), F.count("*").alias("w"), F.first("tokens", ignorenulls=True).alias("tokens"))
-    classes = materialize(classes, "classes")
+    classes = scratch.table(classes, "classes")
     reps = classes.where("tokens is not null").select("cid", "n", "tokens")
     tall = arrow_map(reps, _tokens, "cid long, n long, token long")
-    df = materialize(tall.groupBy("token").count().where("count > 1"), "frequencies")  # a table, so that a skewed join can be split
+    df = scratch.table(tall.groupBy("token").count().where("count > 1"), "frequencies")  # a table, so that a skewed join can be split
     listed = tall.join(df, "token").groupBy("cid", "n").agg(F.collect_list(F.struct("count", "token")).alias("t"))
     need = F.ceil(F.col("n") * F.lit(PERCENT) / F.lit(100)).cast("long")
     listed = listed.where(F.size("t") >= need).withColumn("t", F.array_sort("t"))
-    listed = materialize(listed.select("cid", "n", F.expr("transform(t, x -> x.token)").alias("t")), "shared")
+    listed = scratch.table(listed.select("cid", "n", F.expr("transform(t, x -> x.token)").alias("t")), "shared")
     # The prefix of n - need + 1 rarest shingles begins with those that are unshared.
     first = listed.select("cid", F.explode(F.slice("t", 1, F.greatest(F.lit(0), F.size("t") - need + 1))).alias("token"))
-    hubs = materialize(first.groupBy("token").agg(F.min("cid").alias("hub")), "hubs")
+    hubs = scratch.table(first.groupBy("token").agg(F.min("cid").alias("hub"), F.count("*").alias("sets")).where("sets > 1"), "hubs")
     stars = first.join(hubs, "token").where("hub <> cid").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    cluster = components(stars)
-    members = cluster.withColumnRenamed("node", "cid").join(listed, "cid").join(classes.select("cid", "w"), "cid")
-    members = materialize(members.withColumn("size", F.size("t")), "members")
-    blocks = members.groupBy("label").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("size") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
-    blocks = materialize(blocks, "blocks")
-    dealt = members.join(blocks, "label").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cid", "n", "w", "part", F.least("part", "k").alias("i"), F.greatest("part", "k").alias("j"), "label", "t")
-    dealt = arrow_map(dealt.withColumn("task", F.xxhash64("label", "i", "j")), _binary, "task long, cid long, n long, w long, part int, i int, j int, tokens binary")
+    order = components(stars, scratch=scratch).withColumnRenamed("node", "cid")
+    members = order.join(listed, "cid").join(classes.select("cid", "w"), "cid").withColumn("least", F.array_min("t"))
+    members = members.repartitionByRange("label", "least", "cid").sortWithinPartitions("label", "least", "cid").select("cid", "n", "w", "t")
+    members = scratch.table(arrow_map(members, _cut_blocks, "block long, cid long, n long, w long, tokens binary"), "members")
+    sizes = members.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # Blocks of a shingle; equal lists of blocks, as the many common shingles of one family have, give their pairs once.
+    lists = first.join(hubs.select("token"), "token").join(members.select("cid", "block"), "cid").groupBy("token").agg(F.sort_array(F.collect_set("block")).alias("b")).where("size(b) > 1").select("b").distinct()
+    pairs = lists.select(F.posexplode("b").alias("k", "i"), "b").select("i", F.explode(F.slice("b", F.col("k") + 2, F.greatest(F.size("b") - F.col("k") - 1, F.lit(0)))).alias("j")).distinct()
+    left, right = sizes.toDF("i", "i_low", "i_high"), sizes.toDF("j", "j_low", "j_high")
+    pairs = pairs.join(left, "i").join(right, "j").where(f"100 * i_high >= {PERCENT} * j_low and 100 * j_high >= {PERCENT} * i_low").select("i", "j")
+    pairs = scratch.table(pairs, "pairs")
+    tasks = sizes.select("block", F.col("block").alias("i"), F.col("block").alias("j")).unionByName(pairs.select(F.explode(F.array("i", "j")).alias("block"), "i", "j"))
+    dealt = members.join(tasks, "block").select(F.xxhash64("i", "j").alias("task"), "cid", "n", "w", F.col("block").alias("part"), "i", "j", "tokens")
     dealt = dealt.repartition(parts, "task").sortWithinPartitions("task", "cid")
-    found = materialize(arrow_map(dealt, _join, "cid long, root long, links long"), "found")
-    if blocks.where("blocks > 1").isEmpty():
+    found = scratch.table(arrow_map(dealt, _join, "cid long, root long, links long"), "found")
+    if pairs.isEmpty():
         label = found.select("cid", "root", "links")
     else:
         links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-        label = links.join(components(found, "cid", "root").withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("root"), "links")
+        label = links.join(components(found, "cid", "root", scratch).withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.coalesce("label", "cid").alias("root"), "links")
     full = classes.drop("tokens").join(label, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     heads = full.groupBy("root").agg(F.min("who").alias("head"))
-    full = materialize(full.join(heads, "root").select("k1", "k2", "n", "head", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "full")
+    full = scratch.table(full.join(heads, "root").select("k1", "k2", "n", "head", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links")), "full")
     out = rows.drop("tokens").join(full, ["k1", "k2", "n"], "left")
     out = out.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(F.col("head.rid") == F.col("rid"), F.lit(True)).alias("keep"))
-    out = materialize(out, "groups")
-    drop_written(spark, tables, keep=1)  # all that the groups were made of
+    out = scratch.table(out, "groups")
+    scratch.drop(keep=1)  # all that the groups were made of
     return out
 
 
-def _binary(batches):
-    for batch in batches:
-        t = batch.column(batch.schema.get_field_index("t"))
-        blobs = pa.array([np.asarray(x.values, np.int64).tobytes() for x in t], pa.binary())
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        yield pa.RecordBatch.from_arrays([get("task"), get("cid"), get("n"), get("w"), get("part"), get("i"), get("j"), blobs], ["task", "cid", "n", "w", "part", "i", "j", "tokens"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id", "n_links")
 
@@ -369,6 +394,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id, with its own columns. The numbers of the rows are written
     with them, as a second scan may be split otherwise (it depends on the cores alive) and would number them anew."""
     names = [f"k{i}" for i in range(len(docs.columns))]  # own columns may have any names
-    numbered = materialize(with_row_id(docs.toDF(*names), *names), "numbered")
+    numbered = Scratch(spark).table(with_row_id(docs.toDF(*names), *names), "numbered")
     kept = jaccard_groups(numbered, f"k{docs.columns.index('doc_id')}", f"k{docs.columns.index('text')}", "rid").where("keep").select("rid")
     return numbered.join(kept, "rid", "left_semi").select(*names).toDF(*docs.columns)
