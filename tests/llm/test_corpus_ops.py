@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from duet.llm import bpe, op1_suffix, op2_bpe, op3_quality, op4_counts, op5_idfiles, op6_decontaminate, op7_shards, op8_html, op9_jaccard, op10_toxicity
-from duet.llm.common import components, new_path, pack, ranges, unpack
+from duet.llm.common import Scratch, components, new_path, pack, ranges, unpack
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -108,6 +108,48 @@ def test_op1_suffix_order_and_cover():
     assert len(set(windows)) == number[-1] + 1 and all((a == b) == (m == n) for a, b, m, n in zip(windows, windows[1:], number, number[1:]))
 
 
+def test_op1_low_entropy_texts(spark, monkeypatch):
+    """Letters and short patterns over and over, alone, inside prose, across pieces and documents."""
+    monkeypatch.setattr(op1_suffix, "PIECE", 700)
+    rng = random.Random(6)
+    noise = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(1, "a" * 1500), (2, "ab" * 400 + noise), (3, noise[50:300] + "a" * 600), (4, "abc" * 50 + "ab" * 90), (5, "a" * 99), (6, "a" * 100), (7, noise + "ab" * 400), (8, ("x" * 30 + "y" * 30) * 20), (9, "y" * 30 + ("x" * 30 + "y" * 30) * 5)]
+    rows += [(20 + k, "".join(rng.choice("ab") for _ in range(300)) + "b" * rng.randint(0, 300)) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    assert suffix_rows(df) == brute_repeats(rows)
+
+
+def test_op1_anchors_of_one_letter_are_few_and_flushes_do_not_grow_with_buckets():
+    import time
+
+    assert len(op1_suffix.anchors([b"a" * 100_000])[0]) < 3000
+    texts = [bytes(random.Random(1).randbytes(1 << 20))]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([texts[0].decode("latin-1")]), pa.array([True])], ["rid", "doc_id", "text", "head"])
+
+    def took(bits):
+        began = time.process_time()
+        n = sum(b.num_rows for b in op1_suffix._send_anchors(bits)(iter([batch] * 3)))
+        return time.process_time() - began, n
+
+    took(8)
+    (few, a), (many, b) = min(took(8) for _ in range(3)), min(took(24) for _ in range(3))
+    assert b > a and many < 2 * few + 0.2
+
+
+def test_op1_columns_of_any_name(spark, edge):
+    df = clashing(edge).select("*", F.lit("u").alias("meta.url"), F.struct(*[F.lit(i).alias(f"f{i}") for i in range(30)]).alias("wide"))
+    out = op1_suffix.remove(df)
+    assert out.columns == df.columns and out.schema["wide"].dataType == df.schema["wide"].dataType and out.count() == 9
+
+
+def test_op1_input_that_is_shuffled(spark, real):
+    """An input that a second evaluation would number otherwise."""
+    df = real.repartition(5).where(F.rand() >= 0)
+    assert suffix_rows(df) == brute_repeats([(r.doc_id, r.text) for r in real.collect()])
+
+
 def test_op1_whole_characters():
     assert op1_suffix.whole_characters("aßb".encode(), [(2, 3)]).decode() == "ab"
 
@@ -296,24 +338,88 @@ def test_op6_short_items_and_scripts_without_spaces(spark):
 def check_shards(rows, docs, shards):
     assert len(rows) == len(docs)
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == collections.Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in docs)
-    per = collections.defaultdict(list)
+    per, of_text, weight = collections.defaultdict(list), collections.defaultdict(set), collections.Counter()
     for r in rows:
         assert 0 <= r.shard < shards and r.law == "bytes" and r.grown_shard is None
-        per[r.shard].append(r.slot)
-    assert all(sorted(v) == list(range(len(v))) for v in per.values())
+        per[r.shard].append((r.doc_id is not None, r.doc_id or 0, r.slot))
+        of_text[r.size, r.text_crc32].add(r.shard)
+        weight[r.size, r.text_crc32] += r.size
+    for v in per.values():
+        assert [x[2] for x in sorted(v)] == list(range(len(v))) or sorted(x[2] for x in v) == list(range(len(v)))
+    target = weight.total() / shards
+    blank = (16, 0)  # null and empty texts look alike here
+    assert all(len(of_text[k]) == 1 for k, w in weight.items() if w <= target and k != blank)
+    assert all(len(of_text[k]) <= w / target + 2 for k, w in weight.items())
 
 
 def test_op7_invariants(spark, edge, real):
-    check_shards(op7_shards.assign(clashing(edge).drop("shard")).collect(), [(r[0], r[1]) for r in EDGE], 40)
-    check_shards(op7_shards.assign(real).collect(), [(r.doc_id, r.text) for r in real.collect()], 40)
+    check_shards(op7_shards.assign(clashing(edge), 6).collect(), [(r[0], r[1]) for r in EDGE], 6)
+    check_shards(op7_shards.assign(real, 7).collect(), [(r.doc_id, r.text) for r in real.collect()], 7)
     assert op7_shards.assign(edge.limit(0)).count() == 0
 
 
+def test_op7_whole_groups_and_near_sizes(spark):
+    folder = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = op7_shards.query(spark, folder).collect()
+    check_shards(rows, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()], 40)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 40 and max(sizes.values()) < 1.1 * min(sizes.values())
+
+
 def test_op7_balance_with_a_hot_group(spark):
     df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("same text " * 20)).otherwise(F.repeat(F.concat(F.lit("t"), F.col("id").cast("string")), 40)).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
-    got = op7_shards.assign(df).groupBy("shard").agg(F.sum("size").alias("b")).collect()
-    sizes = [r.b for r in got]
-    assert len(sizes) == 40 and max(sizes) < 1.05 * min(sizes)
+    rows = op7_shards.assign(df).collect()
+    check_shards(rows, [(r.doc_id, r.text) for r in df.collect()], 40)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert len(sizes) == 40 and max(sizes.values()) < 1.05 * min(sizes.values())
+
+
+def plain_tree(items, room, wide=None):
+    """item -> leaf: items (key, weight, places, tie), cut node by node in plain Python."""
+    if len(room) == 1 or not items:
+        return {x[0]: 0 for x in items}
+    spread = [max(x[2][d] for x in items) - min(x[2][d] for x in items) for d in range(4)]
+    wide = wide or [max(1, s) for s in spread]
+    d = max(range(4), key=lambda k: (spread[k] / wide[k], k))
+    items = sorted(items, key=lambda x: (x[2][d], x[3]))
+    half = len(room) // 2
+    need = sum(x[1] for x in items) * (sum(room[:half]) / sum(room) if sum(room) else half / len(room))
+    run, cut = 0, len(items)
+    for k, x in enumerate(items):
+        if run + x[1] >= need:
+            cut = k if need - run < run + x[1] - need else k + 1
+            break
+        run += x[1]
+    left, right = plain_tree(items[:cut], room[:half], wide), plain_tree(items[cut:], room[half:], wide)
+    return left | {k: v + half for k, v in right.items()}
+
+
+def test_op7_tree_equals_plain_tree(spark, monkeypatch):
+    monkeypatch.setattr(op7_shards, "BINS", 4)
+    rng = random.Random(11)
+    rows = [(k, rng.randint(1, 10**6), rng.randint(100, 900), rng.randint(-50, 5000), rng.choice([1 << 20, 3 << 18, rng.randint(0, 1 << 21)]), rng.randint(0, 3), rng.choice([0, 5, 5, 5, 77])) for k in range(200)]
+    items = spark.createDataFrame(rows, "h long, size long, w long, d_id long, d_size long, d_lang long, d_source long").withColumn("tie", op7_shards._tie()).cache()
+    tie = {r.h: r.tie for r in items.collect()}
+    plain = [(r[0], r[2], r[3:], tie[r[0]]) for r in rows]
+    for room in ([1.0] * 8, [0.2, 1, 1, 0, 0.7], [0.0, 0.0, 1.0]):
+        got = {r.h: r.shard for r in op7_shards.build_tree(items, room, Scratch(spark)).collect()}
+        assert got == plain_tree(plain, room)
+
+
+def test_op7_names_rank_by_the_whole_name(spark, monkeypatch):
+    names = [f"https://site{k}.example" for k in range(50)]
+    rows = [(k, names[k % 50] if k % 7 else None, "de" if k % 2 else None) for k in range(200)]
+    items = spark.createDataFrame(rows, "h long, source string, lang string")
+    want = {k: (0 if s is None else sorted(names).index(s) + 1, 0 if x is None else 1) for k, s, x in rows}
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(op7_shards, "NAME_BYTES", limit)
+        got = {r.h: (r.d_source, r.d_lang) for r in op7_shards.ranked(items, Scratch(spark)).collect()}
+        assert got == want
 
 
 # --- 8 ---------------------------------------------------------------------------------------------------------------
@@ -349,6 +455,40 @@ def test_op8_edge_cases(spark, page_model):
     assert {r.text for r in got if r.page_id in (1, 2, 5)} == {""}
 
 
+def test_op8_hostile_pages_take_linear_time(page_model):
+    import time
+
+    pages = ["<a" * 10**6, "<" + "a" * 10**6, "<div>" * 10**5 + "x", "<h1>" * 10**5, "<li>" * 10**5, '<a "><" ' * 10**5, "<div>" * 50_000 + "</p>" * 50_000, "<svg>" * 10**5 + "x", "<select><option>" * 50_000, "<!--" * 10**5, "</script " * 10**5]
+    for page in pages:
+        began = time.process_time()
+        page_model.texts([page])
+        assert time.process_time() - began < 6  # about a second on a free core; the earlier, superlinear scan took minutes
+
+
+def test_op8_text_inside_formulas_buttons_and_fallbacks_stays(page_model):
+    filler = "This sentence goes on for a good while so that the paragraph looks like prose, does it not? "
+    page = f"""<body><article><h1>Head</h1><p>{filler}<math><mi>E</mi><mo>=</mo><mi>m</mi></math> then <button>press</button> it.</p>
+    <p>{filler}<object data=a><object data=b>inner</object> outer</object> end</p><p>{filler}<svg><title>t</title><svg>x</svg>y</svg>after</p><p>{filler}&#{'0' * 5000}65;&#{'9' * 5000};</p><p>{filler}open <svg>drawing<p>{filler}last</article>"""
+    f = filler.strip()
+    assert page_model.texts([page])[0].split("\n") == ["Head", f"{f} E=m then press it.", f"{f} inner outer end", f"{f} after", f"{f} A\ufffd", f"{f} open drawing", f"{f} last"]
+
+
+def test_op8_narrow_trees_equal_levels():
+    rng = random.Random(1)
+    for _ in range(40):
+        n = rng.randint(1, 30)
+        forest = op8_html.Forest([[-1] + [rng.randrange(k) for k in range(1, n)]])
+        score, pair = np.array([rng.gauss(0, 2) for _ in range(n)]), np.array([[rng.gauss(0, 1) for _ in "ab"] for _ in "ab"])
+        assert np.allclose(forest.marginals(score, pair)[0], forest._by_node(score, pair))
+
+
+def test_op8_empty_table_and_clashing_columns(spark, page_model):
+    rows = spark.createDataFrame([(1, "u", "<p>some text</p>", 5, "own")], "page_id int, url string, html string, n_chars int, k0 string")
+    assert op8_html.extract(rows.limit(0), page_model).count() == 0
+    (r,) = op8_html.extract(rows, page_model).collect()
+    assert r.asDict().keys() == {"page_id", "url", "text", "n_chars"} and r.n_chars == len(r.text)
+
+
 def test_op8_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     parent = [-1, 0, 0, 1, 1, 2]
@@ -423,6 +563,62 @@ def test_op9_chains_of_near_copies(spark, monkeypatch):
     assert group_rows(df) == want
 
 
+def test_op9_far_blocks_are_not_met(spark, monkeypatch):
+    """Families that share nothing rare are joined in tasks of their own; the number of tasks grows with the families."""
+    monkeypatch.setattr(op9_jaccard, "BLOCK_SETS", 10)
+    rows = [(100 * f + k, " ".join(f"f{f}w{i}" for i in range(60)) + f" end{f}{k}") for f in range(20) for k in range(5)]
+    seen = []
+    table = Scratch.table
+
+    def spy(self, df, name):
+        out = table(self, df, name)
+        if name == "pairs":
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "table", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    assert group_rows(df) == brute_groups(rows)
+    assert seen and seen[0] < 20  # of 45 or more pairs of blocks
+
+
+def test_op9_send_does_not_grow_with_buckets():
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([0])], ["doc_id", "text", "rid"])
+
+    def took(bits):
+        began = time.process_time()
+        n = sum(b.num_rows for b in op9_jaccard._send(bits)(iter([batch])))
+        return time.process_time() - began, n
+
+    took(8)
+    (few, a), (many, b) = min(took(8) for _ in range(3)), min(took(24) for _ in range(3))
+    assert b > a and many < 2 * few + 0.2
+
+
+def test_op9_tokens_survive_the_buckets():
+    """From any number of bucket bits the compared tokens come back as the same part of the hash."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(50))
+    for bits in (8, 16, 20):
+        sent = []
+        for base in (0, 5):
+            batch = pa.RecordBatch.from_arrays([pa.array([base]), pa.array([text]), pa.array([base])], ["doc_id", "text", "rid"])
+            sent += [r for b in op9_jaccard._send(bits)(iter([batch])) for r in b.to_pylist() if r["kind"] == 2]
+        sent.sort(key=lambda r: (r["bucket"], r["base"]))
+        back = [r for b in op9_jaccard._compare(bits)(iter([pa.RecordBatch.from_pylist(sent)])) for r in b.to_pylist()]
+        want = np.sort((op9_jaccard.shingles([text.encode()])[0] >> np.uint64(max(0, 16 - bits))).view(np.int64))
+        for base in (0, 5):
+            got = np.sort(np.concatenate([unpack(r["payload"], "i4", "i8")[1] for r in back if r["base"] == base]))
+            assert got.tolist() == want.tolist()
+
+
 def test_op9_stage_keeps_one_of_each_group(spark, edge):
     df = clashing(edge)
     kept = op9_jaccard.stage(spark, df, FOLDER)
@@ -485,39 +681,82 @@ def test_op10_edge_cases(spark, edge):
     assert op10_toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
-def test_op10_chain_equals_enumeration():
+def plain_chain(n, weight, trans, bias):
+    """Forward-backward token by token over one text: marginals, expected transitions and toxic tokens."""
+    e = np.exp(np.stack([np.zeros(n), weight + bias], 1))
+    a = np.exp(trans)
+    f, b = [e[0] / e[0].sum()], [np.ones(2)]
+    for t in range(1, n):
+        x = (f[-1] @ a) * e[t]
+        f.append(x / x.sum())
+        y = a @ (e[n - t] * b[0])
+        b.insert(0, y / y.sum())
+    p = np.array([x * y / (x @ y) for x, y in zip(f, b)])
+    two = np.zeros((2, 2))
+    for t in range(n - 1):
+        j = f[t][:, None] * a * (e[t + 1] * b[t + 1])[None, :]
+        two += j / j.sum()
+    return p[:, 1], two, p[:, 1].sum()
+
+
+def test_op10_plain_chain_equals_enumeration():
+    rng = np.random.default_rng(1)
+    n, weight, trans, bias = 6, rng.normal(size=6), rng.normal(size=(2, 2)), -0.3
+    total, on, two = 0.0, np.zeros(n), np.zeros((2, 2))
+    for x in range(1 << n):
+        y = [(x >> k) & 1 for k in range(n)]
+        p = math.exp(sum((weight[k] + bias) * y[k] for k in range(n)) + sum(trans[y[k], y[k + 1]] for k in range(n - 1)))
+        total += p
+        on += p * np.array(y)
+        for k in range(n - 1):
+            two[y[k], y[k + 1]] += p
+    p, pairs, toxic = plain_chain(n, weight, trans, bias)
+    assert np.allclose(p, on / total) and np.allclose(pairs, two / total) and toxic == pytest.approx(on.sum() / total)
+
+
+def test_op10_chain_is_exact_over_whole_texts():
+    """Texts of 1 to 3,000 tokens with few, many and no tokens that have features, at the ends too."""
     rng = np.random.default_rng(1)
-    emit, trans, bias, lens = rng.normal(size=(2, 5)), rng.normal(size=(2, 2)), -0.3, np.array([5, 3])
-    z, marginal, pairs = op10_toxicity.chain(emit, lens, trans, bias)
-    for b in range(2):
-        n, total, on, two = lens[b], 0.0, np.zeros(5), np.zeros((2, 2))
-        for x in range(1 << n):
-            y = [(x >> k) & 1 for k in range(n)]
-            p = math.exp(sum((emit[b, k] + bias) * y[k] for k in range(n)) + sum(trans[y[k], y[k + 1]] for k in range(n - 1)))
-            total += p
-            for k in range(n):
-                on[k] += p * y[k]
-            for k in range(n - 1):
-                two[y[k], y[k + 1]] += p
-        assert z[b] == pytest.approx(math.log(total)) and np.allclose(marginal[b], on / total) and np.allclose(pairs[b], two / total)
-
-
-def test_op10_fit_takes_whole_texts_up_to_its_bound():
+    trans, bias = rng.normal(size=(2, 2)), -0.8
+    n = np.array([300, 1, 5, 3000, 40, 0, 1, 2, 64, 65])
+    places = [np.sort(rng.choice(300, 25, False)), [0], [0, 1, 4], np.sort(rng.choice(3000, 700, False)), [], [], [], [1], [63], [0, 64]]
+    count = np.array([len(x) for x in places])
+    at = np.concatenate(places).astype(np.int64)
+    weight = rng.normal(size=len(at)) * 3
+    marginal, pairs, toxic = op10_toxicity.chain(n, count, at, weight, trans, bias, pairs=True)
+    first, two, sum_ = 0, np.zeros((2, 2)), 0.0
+    for size, x in zip(n, places):
+        if not size:
+            continue
+        w = np.zeros(size)
+        w[np.array(x, int)] = weight[first : first + len(x)]
+        p, t, s = plain_chain(int(size), w, trans, bias)
+        assert np.allclose(marginal[first : first + len(x)], p[np.array(x, int)])
+        two, sum_, first = two + t, sum_ + s, first + len(x)
+    assert np.allclose(pairs, two) and toxic == pytest.approx(sum_)
+
+
+def test_op10_calibration_texts_do_not_fit_the_field():
     rng = random.Random(3)
     rows = []
-    for k in range(40):
+    for k in range(60):
         n = rng.randint(300, 900)
         at = sorted(rng.sample(range(n), 4))
-        rows.append({"toxic": k % 2 == 1, "n": n, "at": at, "kinds": [str(rng.randint(0, 2) if k % 2 else 3) for _ in at]})
-    rows.sort(key=lambda r: (zlib.crc32(repr((r["n"], r["at"], r["kinds"])).encode()), r["n"], r["toxic"]))
-    bound, held, taken = 20, 0, []
-    for r in rows:
-        if held < bound:
-            taken.append(r)
-            held += len({p // op10_toxicity.BLOCK for p in r["at"]})
-    assert 0 < len(taken) < len(rows)
-    some, bounded = op10_toxicity.fit(taken, 4), op10_toxicity.fit(rows, 4, max_blocks=bound)
-    assert np.allclose(some["w"], bounded["w"]) and some["bias"] == pytest.approx(bounded["bias"]) and np.allclose(some["trans"], bounded["trans"])
+        rows.append({"toxic": k % 2 == 1, "calibrate": k % 3 == 0, "n": n, "at": at, "kinds": [str(rng.randint(0, 2) if k % 2 else 3) for _ in at]})
+    rng.shuffle(rows)
+    all_, field = op10_toxicity.fit(rows, 4), op10_toxicity.fit([r for r in rows if not r["calibrate"]], 4)
+    assert np.allclose(all_["w"], field["w"]) and all_["bias"] == pytest.approx(field["bias"]) and not np.allclose(all_["calibration"], field["calibration"])
+
+
+def test_op10_stage_keeps_columns_of_any_name(spark, monkeypatch):
+    vile = [(100 + i, f"clean words here {'you idiot fool' if i % 2 else 'fine day'} number {i}") for i in range(60)]
+    docs = spark.createDataFrame(vile, "doc_id long, text string").select("*", F.lit(1).alias("predicted"), F.lit("x").alias("score"), F.lit(2.0).alias("meta.url"), F.struct(*[F.lit(i).alias(f"f{i}") for i in range(30)]).alias("wide"))
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = op10_toxicity.train(docs, labels)
+    monkeypatch.setattr(op10_toxicity, "train", lambda *_: model)
+    out = op10_toxicity.stage(spark, docs, FOLDER)
+    assert out.columns == docs.columns and out.schema["wide"].dataType == docs.schema["wide"].dataType
+    assert sorted(r.doc_id for r in out.collect()) == [100 + i for i in range(0, 60, 2)]
 
 
 # --- pipeline and plumbing -------------------------------------------------------------------------------------------
@@ -548,13 +787,41 @@ def test_packing():
     assert ranges([5, 0, 9], [2, 0, 3]).tolist() == [5, 6, 9, 10, 11]
 
 
-def test_cleanup(spark):
+def test_scratch_deletes_its_own_tables_only(spark):
     import os
 
     from duet.llm import common
 
-    df = common.materialize(spark.range(3).toDF("x"), "some")
-    folder = common.written(spark)[-1]
-    assert df.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
-    common.drop_written(spark)
-    assert not os.path.isdir(folder.removeprefix("file:"))
+    mine, other = common.Scratch(spark), common.Scratch(spark)
+    kept = other.table(spark.range(3).toDF("x"), "other")
+    for k in range(3):
+        last = mine.table(spark.range(k + 1).toDF("x"), "mine")
+    folders = list(mine.folders)
+    mine.drop(keep=1)
+    assert [os.path.isdir(f.removeprefix("file:")) for f in folders] == [False, False, True]
+    assert last.count() == 3 and kept.count() == 3
+    mine.drop()
+    assert mine.folders == []
+
+
+def test_batches_are_lowered_never_raised(spark):
+    from duet.llm import common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for value, want in (("1m", "1m"), ("64m", str(common.BATCH_BYTES))):
+            spark.conf.set(key, value)
+            common.arrow_map(spark.range(1), lambda x: x, "id long")
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_packed_records():
+    from duet.llm import common
+
+    key = np.array([-3, -3, 1, 1, 1, 9])
+    names, blobs = common.packed(np.arange(6, dtype="<i8"), key)
+    assert names.tolist() == [-3, 1, 9] and [np.frombuffer(b.as_py(), "<i8").tolist() for b in blobs] == [[0, 1], [2, 3, 4], [5]]
+    assert len(common.packed(np.zeros(0, "<i8"), np.zeros(0, np.int64))[1]) == 0
