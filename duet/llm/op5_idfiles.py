@@ -17,7 +17,8 @@ the payload, its length in ids and the number of repeated rows (whose lengths fo
 block's key range, then in constant time; a foreign key is told by its fingerprint but for one in 2**32.
 
 ``start`` of a document is the ids of all shards before, of the shard before its block, and its offset. Only a row for each
-shard is added up. Null texts are empty and hold the end id alone; repeated rows are written each. Other columns are ignored.
+shard is added up. Null and empty texts hold the end id alone; repeated rows are written each. A text of any length lies in one block, which
+is as long as it needs. An empty table gives files without blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import spec_of, word_bpe
-from .common import NULL_ID, arrow_map, in_chunks, ints, mix, new_path, pack, unpack, with_row_id
+from .common import NULL_ID, arrow_map, col, in_chunks, ints, mix, new_path, pack, ranges, unpack, with_row_id
 from .op2_bpe import vocabulary_path
 
 END_ID = 2
@@ -157,7 +158,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
         if held:
             yield block()
 
-    frame = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text")
+    frame = with_row_id(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text")), "doc_id", "text")
     frame = frame.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "rid").sortWithinPartitions("doc_id", "rid")
     arrow_map(frame, run, _SCHEMA).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
@@ -187,15 +188,33 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
     return arrow_map(blocks(spark, path).select("base", "width", "payload", "keys", "pilots", "slots"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _route(bounds: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    """Keys to the shards whose range holds them: one, or several where a repeated id runs over an end."""
+    shard, low, high = bounds
+
+    def run(batches):
+        for batch in batches:
+            keys = ints(batch.column(0))
+            a, b = np.searchsorted(high, keys, side="left"), np.searchsorted(low, keys, side="right")
+            n = np.maximum(b - a, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[ranges(a, n)], pa.int32()), pa.array(np.repeat(keys, n))], ["shard", "doc_id"])
+
+    return run
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """doc_id, ids of the asked-for keys (a ``doc_id`` column) that the files hold; null keys find nothing.
 
-    Keys go to their block by its key range, then to their slot. What is joined by range is a row of figures per block.
+    Keys go to their shard by binary search over the shards' ranges (three numbers for each of the writer's partitions, sent to the tasks), to their block
+    by a join within the shard, then to their slot. Payloads are read for the blocks that are asked for.
     """
-    ranges_ = spark.read.parquet(f"{path}/blocks").select("shard", "block", "first_key", "last_key")
+    found = spark.read.parquet(f"{path}/blocks")
+    shards = sorted(tuple(r) for r in found.groupBy("shard").agg(F.min("first_key"), F.max("last_key")).collect())  # in the order of the keys
+    bounds = tuple(np.array([s[k] for s in shards], np.int64) for k in range(3))
     asked = keys.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    routed = asked.join(ranges_, (F.col("doc_id") >= F.col("first_key")) & (F.col("doc_id") <= F.col("last_key"))).groupBy("shard", "block").agg(F.collect_list("doc_id").alias("asked"))
-    found = spark.read.parquet(f"{path}/blocks").select("shard", "block", "width", "payload", "pilots", "slots").join(routed, ["shard", "block"])
+    routed = arrow_map(asked, _route(bounds), "shard int, doc_id long").join(found.select("shard", "block", "first_key", "last_key"), "shard")
+    routed = routed.where("doc_id between first_key and last_key").groupBy("shard", "block").agg(F.collect_list("doc_id").alias("asked"))
+    found = found.select("shard", "block", "width", "payload", "pilots", "slots").join(routed, ["shard", "block"])
 
     def run(batches):
         for batch in batches:
