@@ -1,6 +1,6 @@
 """BPE encoding and decoding of whole texts, by batched numpy merge rounds (see bpe.py).
 
-Null texts count as empty; empty texts give no ids. Every row gives one row, repeated rows included, in any order; further
+Null texts count as empty; empty texts give no ids; texts of any length are coded whole. An empty table gives no rows. Every row gives one row, repeated rows included, in any order; further
 columns of the input, whatever their names, are ignored by ``encode`` and kept by the pipeline stage's own projection.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import spec_of, word_bpe
-from .common import arrow_map, in_chunks
+from .common import arrow_map, col, fields, in_chunks
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -43,9 +43,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             names = ["ids", "decoded"] if raw else ["ids_sha256", "decoded_sha256"]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), *out], ["doc_id", "n_tokens", *names])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     tail = "ids binary, decoded string" if raw else "ids_sha256 string, decoded_sha256 string"
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_tokens long, {tail}")
+    return arrow_map(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), run, fields(docs, {"doc_id": id_col}, f"n_tokens long, {tail}"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

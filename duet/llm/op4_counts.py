@@ -1,7 +1,8 @@
 """Token counts of whole texts with the byte-level vocabulary, by rank-synchronous merging of ragged numpy arrays.
 
 Batched pre-tokens lie end to end in one array with their lengths; each round applies every sequence's lowest-rank pair at
-once, and the symbols that survive are counted (``bpe.merge``). Null texts are empty (0 bytes, 0 tokens). Every row gives
+once, and the symbols that survive are counted (``bpe.merge``). Null texts are empty (0 bytes, 0 tokens); texts of any length are counted whole. An empty table
+gives no rows. Every row gives
 one row, repeated rows included; other columns are ignored.
 """
 
@@ -10,10 +11,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .bpe import byte_bpe, spec_of
-from .common import arrow_map, in_chunks
+from .common import arrow_map, col, fields, in_chunks
 from .op2_bpe import vocabulary_path
 
 #: Tokens that a document may have.
@@ -30,8 +30,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             size = np.fromiter(map(len, texts), np.int64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), run, fields(docs, {"doc_id": id_col}, "n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ contaminates every document that holds all its words as one run, a single word t
 
 The benchmark is the query set: it is split into blocks of bounded size, each block's seeds are sent to all tasks, and every
 document is compared with every block, so nothing sent grows with the corpus or, at a time, with the benchmark. Null and
-empty texts and items match nothing; null ids are allowed and stay null. Repeated rows are judged alike, one row each.
+empty texts and items match nothing; null ids are allowed and stay null. Repeated rows are judged alike, one row each. Texts
+of any length are searched whole. Without documents or items nothing is found. Other columns, whatever their names and types, are
+ignored by ``find`` and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, in_chunks
+from .common import arrow_map, col, fields, in_chunks
 
 MATCH, COVER = 5, 0.5
 #: Bytes of benchmark text whose seeds are sent to the tasks at a time.
@@ -186,9 +188,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, item_id, coverage, n_tiles and the tiles' spans in words, of every contaminated document and its items."""
     spark = docs.sparkSession
     ship_type = pa.list_(pa.struct([("first_word", pa.int64()), ("words", pa.int64())]))
-    kind = docs.schema[id_col].dataType.simpleString()
     item_kind = benchmark.schema[item_col].dataType.simpleString()
-    frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    schema = fields(docs, {"doc_id": id_col}, f"item_id {item_kind}, coverage double, n_tiles long, tiles array<struct<first_word:long,words:long>>")
+    frame = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     out = None
     for items in item_blocks(benchmark, item_col, item_text):
         sent = spark.sparkContext.broadcast(items)
@@ -202,7 +204,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 item_type = pa.string() if item_kind == "string" else pa.int64() if item_kind == "bigint" else pa.int32()
                 yield pa.RecordBatch.from_arrays([take, pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.int64()), pa.array(spans, ship_type)], ["doc_id", "item_id", "coverage", "n_tiles", "tiles"])
 
-        part = arrow_map(frame, run, f"doc_id {kind}, item_id {item_kind}, coverage double, n_tiles long, tiles array<struct<first_word:long,words:long>>")
+        part = arrow_map(frame, run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -219,9 +221,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 yield batch.filter(pa.array([all(m[1] < cover for m in seeds.matches(t)) for t in texts], pa.bool_()))
 
         names = docs.columns
-        types = [f.dataType.simpleString() for f in docs.schema.fields]
-        passed = docs.toDF(*(f"k{i}" for i in range(len(names))))
-        docs = arrow_map(passed, run, ", ".join(f"k{i} {t}" for i, t in enumerate(types))).toDF(*names)
+        own = [f"k{i}" for i in range(len(names))]
+        docs = arrow_map(docs.toDF(*own), run, fields(docs.toDF(*own), {k: k for k in own})).toDF(*names)
     return docs
 
 
