@@ -223,6 +223,20 @@ def test_op5_files(spark, edge):
     assert op5_idfiles.blocks(spark, path + "-none").count() == 0
 
 
+def test_op5_lookup_over_many_shards(spark):
+    """Every key of many shards and blocks, repeated ids across their ends, and keys between, before and behind them."""
+    rows = [(k * 3, f"text number {k} " * (k % 9)) for k in range(300)] + [(600, "again and again")] * 40
+    path = new_path(spark, "ids")
+    op5_idfiles.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), path, block_ids=50)
+    assert op5_idfiles.blocks(spark, path).select("shard").distinct().count() > 1
+    asked = spark.range(-5, 1000).toDF("doc_id")
+    found = op5_idfiles.lookup(spark, path, asked)
+    assert "Cartesian" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    t = library(op2_bpe.VOCABULARY)
+    want = collections.Counter((i, tuple([*t.encode(x, add_special_tokens=False).ids, 2])) for i, x in rows)
+    assert collections.Counter((r.doc_id, tuple(r.ids)) for r in found.collect()) == want
+
+
 def test_op5_perfect_hash():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 1000, 5000):
@@ -258,27 +272,103 @@ def test_op3_counts(edge, real):
 
 
 def test_op3_binomial():
-    assert op3_quality.binomial_cdf(3, 20, 0.2) == pytest.approx(sum(math.comb(20, i) * 0.2**i * 0.8 ** (20 - i) for i in range(4)))
-    assert op3_quality.binomial_cdf(20, 20, 0.2) == 1
+    for n, k, p in ((20, 3, 0.2), (20, 9, 0.2), (20, 0, 0.2), (300, 7, 0.05), (300, 40, 0.05), (50, 49, 0.9)):
+        assert op3_quality.binomial_cdf(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    assert op3_quality.binomial_cdf(20, 20, 0.2) == 1 and op3_quality.binomial_cdf(-1, 20, 0.2) == 0
+    assert 0.4 < op3_quality.binomial_cdf(50_000_000, 10**9, 0.05) < 0.6
 
 
-def test_op3_guarantee(spark):
-    rng = np.random.default_rng(0)
+def quality_rows(n, seed, dup=()):
+    """(rows of features, labels, values by rule): bad documents have more symbols and, in one stratum, more capitals."""
+    rng = np.random.default_rng(seed)
     rows, labels = [], []
-    for i in range(6000):
-        bad = i % 5 == 0
-        rows.append((i, "en" if i % 2 else None, 100, 1000, int(rng.integers(200, 400)) if bad else int(rng.random() < 0.001) * 300, 0, 0, 10, 5))
+    for i in range(n):
+        bad, s = i % 5 == 0, [None, "de", "en"][i % 3]
+        symbols = int(rng.integers(20, 400)) if bad else int(rng.integers(0, 60))
+        upper = int(rng.integers(100, 900)) if bad and s == "en" else int(rng.integers(0, 300))
+        rows.append((i, s, 100, 1000, symbols, int(rng.integers(0, 3)), int(rng.integers(0, 15)), upper, 10, i))
         labels.append((i, 0 if bad else 1))
-    found = spark.createDataFrame(rows, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in op3_quality.COUNTS))
+    return rows, labels
+
+
+QUALITY = "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in (*op3_quality.COUNTS, "copy"))
+
+
+def plain_thresholds(rows, labels, risk, level):
+    """The fixed-sequence rule on plain lists: every candidate is a set of cutoffs, applied to every document anew."""
+    good = dict(labels)
+    value = lambda r: (r[4] / r[3], r[5] / r[8], r[6] / r[2], r[7] / r[3])
+    out = {}
+    strata = {r[1] for r in rows}
+    for s in strata:
+        half = {h: [(value(r), good[r[0]]) for r in rows if r[1] == s and (zlib.crc32(str(r[0]).encode()) % 2 == 1) == h] for h in (True, False)}
+        n = {(h, g): sum(q == g for _, q in half[h]) for h in half for g in (0, 1)}
+        entries = []
+        for k in range(4):
+            have = sorted(v[k] for v, _ in half[False])
+            for c in {have[max(0, math.ceil(len(have) * p / 100) - 1)] for p in range(101)}:
+                g, b = (sum(v[k] > c and q == y for v, q in half[False]) for y in (1, 0))
+                if b * n[False, 1] > g * n[False, 0]:
+                    entries.append((g, -b, k, -c))
+        now, best, gain = {}, {}, 0.0
+        for _, _, k, c in sorted(entries):
+            if -c >= now.get(k, math.inf):
+                continue
+            now[k] = -c
+            hits = {(h, y): sum(q == y and any(v[j] > x for j, x in now.items()) for v, q in half[h]) for h in half for y in (0, 1)}
+            m, x = n[True, 1], hits[True, 1]
+            if sum(math.comb(m, i) * risk**i * (1 - risk) ** (m - i) for i in range(x + 1)) > level / len(strata):
+                break
+            g = hits[False, 0] / n[False, 0] - hits[False, 1] / n[False, 1]
+            if g > gain:
+                best, gain = dict(now), g
+        out |= {(s, op3_quality.RULES[k]): c for k, c in best.items()}
+    return out
+
+
+def test_op3_thresholds_and_kept_equal_plain_rule(spark):
+    rows, labels = quality_rows(1500, 4)
+    found, known = spark.createDataFrame(rows, QUALITY), spark.createDataFrame(labels, "doc_id long, quality int")
+    want = plain_thresholds(rows, labels, 0.05, 0.05)
+    assert {s for s, _ in want} == {None, "de", "en"} and ("en", "upper_ratio") in want
+    assert op3_quality.thresholds(found, known) == want
+    kept = {r.doc_id: r.kept for r in op3_quality.judge(found, want).collect()}
+    for r in rows:
+        v = dict(zip(op3_quality.RULES, (r[4] / r[3], r[5] / r[8], r[6] / r[2], r[7] / r[3])))
+        assert kept[r[0]] == (not any(s == r[1] and v[rule] > c for (s, rule), c in want.items()))
+
+
+def test_op3_guarantee(spark):
+    rows, labels = quality_rows(6000, 0)
+    found = spark.createDataFrame(rows, QUALITY)
     known = spark.createDataFrame(labels + [(0, 1), (7, None), (None, 1)], "doc_id long, quality int")
-    cuts = op3_quality.thresholds(found, known)
-    assert set(cuts) == {("en", "symbol_ratio"), (None, "symbol_ratio")}
-    kept = {r.doc_id: r.kept for r in op3_quality.judge(found, cuts).collect()}
-    good = [i for i, q in labels if q]
-    assert sum(not kept[i] for i in good) <= 0.05 * len(good) and sum(kept[i] for i, q in labels if not q) < 30
+    got = op3_quality.certificates(found, known)
+    assert [c["stratum"] for c in got] == [None, "de", "en"] and all(0 < c["used"] <= c["certified"] <= c["candidates"] and c["p"] <= 0.05 / 3 for c in got)
+    kept = {r.doc_id: r.kept for r in op3_quality.judge(found, op3_quality.thresholds(found, known)).collect()}
+    for s in range(3):
+        good = [i for i, q in labels if q and i % 3 == s]
+        assert sum(not kept[i] for i in good) <= 0.05 * len(good)
+    assert sum(kept[i] for i, q in labels if not q) < 300
     assert op3_quality.thresholds(found, known.limit(0)) == {} and op3_quality.thresholds(found.limit(0), known) == {}
 
 
+def test_op3_copies_count_once(spark):
+    rows, labels = quality_rows(300, 2)
+    copies = [(1000 + k, *rows[7][1:]) for k in range(400)]
+    known = spark.createDataFrame(labels + [(r[0], 1) for r in copies], "doc_id long, quality int")
+    assert op3_quality.labelled(spark.createDataFrame(rows + copies, QUALITY), known).count() == 300
+    text = [(1, "a b c d e f g h i j k"), (2, "A b c d e  f g h i j k"), (3, "other words that are not the same at all"), (4, None)]
+    key = {r.doc_id: r.copy for r in op3_quality.features(spark.createDataFrame(text, "doc_id long, text string").withColumn("lang", F.lit("en"))).collect()}
+    assert key[1] == key[2] != key[3] and key[4] is None
+
+
+def test_op3_certifies_on_test_tables(spark):
+    folder = "/root/testdata/sf0.1"
+    found = op3_quality.features(spark.read.parquet(f"{folder}/documents.parquet")).cache()
+    got = {c["stratum"]: c["used"] for c in op3_quality.certificates(found, spark.read.parquet(f"{folder}/labels.parquet"))}
+    assert sum(u > 0 for u in got.values()) >= 2
+
+
 # --- 6 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -332,6 +422,32 @@ def test_op6_short_items_and_scripts_without_spaces(spark):
     assert op6_decontaminate.words_of("Été 2024, 日本語です ok".encode()) == ["été", "2024", *"日本語です", "ok"]
 
 
+def plain_words(text):
+    dense = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f"
+    return re.findall(rf"[{dense}]|[^\W_{dense}]+", (text or "").lower())
+
+
+def test_op6_test_tables_equal_plain_tiling(spark, real):
+    """Every document against every item, without seeds: coverage by plain tiling over all pairs that share five words."""
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    docs = [(r.doc_id, plain_words(r.text)) for r in real.collect()]
+    items = [(r.item_id, plain_words(r.text)) for r in bench.collect()]
+    want = set()
+    runs = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for _, w in items]
+    for i, words in docs:
+        mine = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        for (j, item), run in zip(items, runs):
+            if not mine & run:
+                continue
+            near = [k for k in range(len(words) - 4) if tuple(words[k : k + 5]) in run]
+            keep = {k + d for k in near for d in range(5)}
+            small = [w if k in keep else f"\0{k}" for k, w in enumerate(words) if k in keep or k - 1 in keep]
+            if sum(plain_tiles(item, small, 5)) >= 0.5 * len(item):
+                want.add((i, j))
+    got = {(r.doc_id, r.item_id) for r in op6_decontaminate.find(real, bench).collect()}
+    assert got == want and want
+
+
 # --- 7 ---------------------------------------------------------------------------------------------------------------
 
 
