@@ -12,8 +12,8 @@
    a set with all others are derived from those of a very similar set already done, by the lists of the few shingles in
    which the two differ. Tasks return spanning links and numbers of links, never all pairs.
 
-Shingles are compared by hashes of 56 to 64 bits: two different shingles of a pair of sets of 1,000 each count as one with odds of
-under one in 10**10. Null and empty texts have no set and stay alone; under five words the whole sequence is the only shingle. Texts
+Shingles are compared by hashes of 48 to 64 bits, the more the larger the input: two different shingles of a pair of sets of 1,000
+each count as one with odds of under one in 10**8. Null and empty texts have no set and stay alone; under five words the whole sequence is the only shingle. Texts
 of any length are one set. Repeated rows are in one group. A null id never names a group that has another id. An empty table gives no rows. Other columns are
 ignored; ids are integers.
 """
@@ -101,21 +101,22 @@ def set_keys(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-_ROWS = "bucket long, base long, kind int, payload binary"
-#: A shingle on its way to its bucket: the document in its block, or ``_SAME`` for one that several of the block's sets have
-#: and that is settled; and the bits of its hash below those of the bucket.
-_TOKEN, _SAME = np.dtype([("doc", "<u2"), ("high", "<u2"), ("low", "<u4")]), 65_535
+_ROWS = "bucket long, base long, kind int, payload binary, docs binary"
+#: A shingle on its way to its bucket: the 40 bits of its hash below those of the bucket. Beside it goes its document in the block, as
+#: the difference to the one before; ``_SAME`` stands for a shingle that several of the block's sets have and that is settled.
+_LOW, _TOKEN, _SAME = 40, np.dtype([("high", "u1"), ("low", "<u4")]), 65_535
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], ["bucket", "base", "kind", "payload"])
+    arrays = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(rows), pa.binary())], ["bucket", "base", "kind", "payload", "docs"])
 
 
 def _send(bits: int):
     """A block of consecutive rows to packed rows: kind 0 the block's roster, 1 shared tokens found here, 2 tokens to compare.
     The work is that of sorting the block's tokens, whatever the number of buckets."""
-    shift = np.uint64(max(0, 16 - bits))
+    shift = np.uint64(max(0, 64 - _LOW - bits))
 
     def block(base: int, ids: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[pa.RecordBatch]:
         k1, k2 = set_keys(h, n)
@@ -138,12 +139,19 @@ def _send(bits: int):
         out = [_batch(rows)]
         use = ~many | new
         h, doc, many = h[use], doc[use], many[use]
+        bucket = (h >> (np.uint64(64 - bits) - shift)).astype(np.int64)
+        doc = np.where(many, _SAME, doc)
+        order = np.argsort(bucket << 16 | doc, kind="stable")
+        bucket, doc, h = bucket[order], doc[order], h[order]
         token = np.empty(len(h), _TOKEN)
-        token["doc"] = np.where(many, _SAME, doc)
-        token["high"], token["low"] = (h >> np.uint64(32)).astype(np.uint16), h.astype(np.uint32)
-        bucket, payload = packed(token, (h >> (np.uint64(64 - bits) - shift)).astype(np.int64))
-        m = len(bucket)
-        out.append(pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(m, base)), pa.array(np.full(m, 2, np.int32)), payload], ["bucket", "base", "kind", "payload"]))
+        token["high"], token["low"] = (h >> np.uint64(32)).astype(np.uint8), h.astype(np.uint32)
+        step = np.diff(doc, prepend=0)
+        start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64)
+        step[start] = doc[start]
+        names, payload = packed(token, bucket)
+        m = len(names)
+        arrays = [pa.array(names), pa.array(np.full(m, base)), pa.array(np.full(m, 2, np.int32)), payload, packed(step.astype("<u2"), bucket)[1]]
+        out.append(pa.RecordBatch.from_arrays(arrays, ["bucket", "base", "kind", "payload", "docs"]))
         return out
 
     def run(batches):
@@ -168,7 +176,7 @@ def _send(bits: int):
 
 def _compare(bits: int):
     """Tokens of a bucket that more than one set has, back to their blocks; the other kinds pass through."""
-    under = 64 - max(0, 16 - bits) - bits  # bits of a token below its bucket's
+    under = min(_LOW, 64 - bits)  # bits of a token below its bucket's
 
     def run(batches):
         for bucket, rows in by_bucket(batches):
@@ -177,15 +185,16 @@ def _compare(bits: int):
                 continue
             token = np.frombuffer(b"".join(r["payload"] for r in rows), _TOKEN)
             src = np.repeat(np.arange(len(rows)), [len(r["payload"]) // _TOKEN.itemsize for r in rows])
-            low = token["high"].astype(np.uint64) << np.uint64(32) | token["low"]
+            low = (token["high"].astype(np.uint64) << np.uint64(32) | token["low"]) & np.uint64((1 << under) - 1)
             order = np.argsort(low, kind="stable")
             new = np.append(True, low[order][1:] != low[order][:-1])
             number = np.cumsum(new) - 1
             many = np.zeros(len(low), bool)
             many[order] = np.bincount(number)[number] > 1
-            hit = np.flatnonzero(many & (token["doc"] != _SAME))
-            whole = (low[hit] & np.uint64((1 << under) - 1) | np.uint64(bucket << under)).view(np.int64)
-            src, doc = src[hit], token["doc"][hit].astype(np.int32)
+            doc = np.concatenate([np.cumsum(np.frombuffer(r["docs"], "<u2"), dtype=np.int64) for r in rows])
+            hit = np.flatnonzero(many & (doc != _SAME))
+            whole = (low[hit] | np.uint64(bucket << under)).view(np.int64)
+            src, doc = src[hit], doc[hit].astype(np.int32)
             edge = np.searchsorted(src, np.arange(len(rows) + 1))
             out = [(0, r["base"], 1, pack(doc[a:b], whole[a:b])) for r, a, b in zip(rows, edge[:-1], edge[1:]) if b > a]
             if out:
