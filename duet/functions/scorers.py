@@ -57,10 +57,11 @@ class KeywordCoder:
         self.codebook, self.names = codebook, names or {}
 
     def apply(self, df: DataFrame, text: str) -> DataFrame:
-        words = tokens(F.col(text))
+        df = df.withColumn("__words", tokens(F.col(text)))  # once a row, not once a code
+        words = F.col("__words")
         marks = F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, keys))), F.lit(code)) for code, keys in self.codebook.items()]))
         named = F.transform(marks, lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k in self.codebook for x in (k, self.names.get(k, k))]), c), c))
-        return df.withColumns({"code_ids": F.array_join(marks, "|"), "code_names": F.array_join(named, "|"), "n_codes": F.size(marks)})
+        return df.withColumns({"code_ids": F.array_join(marks, "|"), "code_names": F.array_join(named, "|"), "n_codes": F.size(marks)}).drop("__words")
 
 
 class ModelScorer:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import WEIGHTS
-from .stats import corr, quantile_bins
+from .stats import quantile_bins
 from .timeline import dedupe_first
 
 
@@ -33,16 +33,28 @@ def discord(df: DataFrame, ac: str = "ac_z", tx: str = "tx_z", thresh: float = 0
     return df.withColumns({"discord_flag": flag.cast("int"), "discord_type": kind})
 
 
-def fusion_sensitivity(df: DataFrame, topic: str, excluded: str, ac: str = "ac_z", tx: str = "tx_z", weights: tuple[float, ...] = WEIGHTS, base: float = 0.5) -> DataFrame:
-    """For each weight: correlation with the base weight over all rows, and the highest and lowest topic by mean, the excluded left out."""
+def fusion_sensitivity(df: DataFrame, topic: str, excluded: str, ac: str = "ac_z", tx: str = "tx_z", weights: tuple[float, ...] = WEIGHTS, base: float = 0.5, topics: list[str] = ()) -> DataFrame:
+    """For each weight: correlation with the base weight over all rows, the highest and lowest topic by mean, the excluded left out, and the
+    means of the named ``topics`` as columns. One pass: all follow from the channels' moments and their means by topic."""
     spark = df.sparkSession
-    table = spark.createDataFrame([(w,) for w in weights], "wa double")
-    rows = df.select(topic, ac, tx).crossJoin(F.broadcast(table)).withColumn("v", F.col("wa") * F.col(ac) + (1 - F.col("wa")) * F.col(tx))
-    rows = rows.withColumn("v0", base * F.col(ac) + (1 - base) * F.col(tx))
-    r = rows.groupBy("wa").agg(corr("v", "v0").alias("corr_with_default"))
-    means = rows.where(F.col(topic) != excluded).groupBy("wa", topic).agg(F.avg("v").alias("m"))
-    ends = means.groupBy("wa").agg(F.min(F.struct((-F.col("m")).alias("k"), F.col(topic).alias("topic"))).alias("hi"), F.min(F.struct(F.col("m").alias("k"), F.col(topic).alias("topic"))).alias("lo"))
-    return r.join(ends, "wa").select("wa", "corr_with_default", F.col("hi.topic").alias("most_positive"), F.col("lo.topic").alias("most_negative"), (-F.col("hi.k")).alias("max_mean"), F.col("lo.k").alias("min_mean"))
+    table = F.broadcast(spark.createDataFrame([(w,) for w in weights], "wa double"))
+    both = df.where(F.col(ac).isNotNull() & F.col(tx).isNotNull())
+    x, y = F.col(ac).cast("double"), F.col(tx).cast("double")
+    parts = both.groupBy(topic).agg(F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("vx"), F.var_pop(y).alias("vy"), F.covar_pop(x, y).alias("c"))
+    n = F.sum("n")
+    mean = lambda m: F.sum(F.col("n") * F.col(m)) / n
+    cov = lambda v, a, b: F.sum(F.col("n") * (F.col(v) + F.col(a) * F.col(b))) / n - mean(a) * mean(b)
+    whole = parts.agg(n.alias("rows"), cov("vx", "mx", "mx").alias("vx"), cov("vy", "my", "my").alias("vy"), cov("c", "mx", "my").alias("c"))
+    wa = F.col("wa")
+    var = lambda w: w * w * F.col("vx") + 2 * w * (1 - w) * F.col("c") + (1 - w) * (1 - w) * F.col("vy")
+    w0 = F.lit(base)
+    with_base = wa * w0 * F.col("vx") + (wa * (1 - w0) + (1 - wa) * w0) * F.col("c") + (1 - wa) * (1 - w0) * F.col("vy")
+    spread = var(wa) * var(w0)
+    r = whole.crossJoin(table).select("wa", F.when((F.col("rows") >= 2) & (spread > 0), with_base / F.sqrt(spread)).alias("corr_with_default"))
+    means = parts.where(F.col(topic) != excluded).crossJoin(table).select("wa", topic, (wa * F.col("mx") + (1 - wa) * F.col("my")).alias("m"))
+    named = [F.max(F.when(F.col(topic) == t, F.col("m"))).alias(f"mean_{t}") for t in topics]
+    ends = means.groupBy("wa").agg(F.min(F.struct((-F.col("m")).alias("k"), F.col(topic).alias("topic"))).alias("hi"), F.min(F.struct(F.col("m").alias("k"), F.col(topic).alias("topic"))).alias("lo"), *named)
+    return r.join(ends, "wa").select("wa", "corr_with_default", F.col("hi.topic").alias("most_positive"), F.col("lo.topic").alias("most_negative"), (-F.col("hi.k")).alias("max_mean"), F.col("lo.k").alias("min_mean"), *[f"mean_{t}" for t in topics])
 
 
 def sampling_key(id_col: str, seed: int) -> Column:

@@ -25,35 +25,43 @@ def design(df: DataFrame, factors: list[str], interactions: list[tuple[str, str]
 
 
 def sufficient(df: DataFrame, y: str, terms: dict[str, F.Column], group: str) -> list[dict]:
+    """Sums over the groups of each size: all that the likelihood needs."""
     names = list(terms)
     rows = df.where(F.col(y).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(y).cast("double").alias("y"), *[t.alias(f"x{i}") for i, t in enumerate(terms.values())])
     rows = rows.na.drop()
     x = [F.col(f"x{i}") for i in range(len(names))]
     sums = [F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(len(x)) for j in range(i + 1)]
     out = rows.groupBy("g").agg(F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("c"), F.sum("y").alias("t"), *sums, *[F.sum(v * F.col("y")).alias(f"b{i}") for i, v in enumerate(x)])
+    # A group's weight depends on its size only, so groups of one size are added up: what is collected grows with the sizes that occur.
     k = len(names)
+    s = [F.col(f"a{i}_0") for i in range(k)]
+    plain = [c for c in out.columns if c not in ("g", "n")]
+    squares = [F.sum(s[i] * s[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i + 1)]
+    by_size = out.groupBy("n").agg(F.count("*").alias("m"), *[F.sum(c).alias(c) for c in plain], *squares, *[F.sum(s[i] * F.col("t")).alias(f"st{i}") for i in range(k)], F.sum(F.col("t") * F.col("t")).alias("tt"))
     result = []
-    for r in out.orderBy("g").collect():
-        a = np.zeros((k, k))
+    for r in by_size.orderBy("n").collect():
+        a, ss = np.zeros((k, k)), np.zeros((k, k))
         for i in range(k):
             for j in range(i + 1):
                 a[i, j] = a[j, i] = r[f"a{i}_{j}"]
-        result.append({"n": r["n"], "c": r["c"], "t": r["t"], "A": a, "b": np.array([r[f"b{i}"] for i in range(k)]), "s": a[0]})
+                ss[i, j] = ss[j, i] = r[f"s{i}_{j}"]
+        vector = lambda name: np.array([r[f"{name}{i}"] for i in range(k)])  # noqa: B023, E731
+        result.append({"n": r["n"], "m": r["m"], "c": r["c"], "A": a, "b": vector("b"), "ss": ss, "st": vector("st"), "tt": r["tt"]})
     return result
 
 
 def reml(stats: list[dict]) -> dict:
     """Estimates, standard errors, variances and ICC; the first column of X is the intercept."""
-    n, p = sum(s["n"] for s in stats), len(stats[0]["b"])
+    n, p = sum(s["n"] * s["m"] for s in stats), len(stats[0]["b"])
 
     def solve(ratio: float):
         a, b, c, logs = np.zeros((p, p)), np.zeros(p), 0.0, 0.0
         for s in stats:
             w = ratio / (1 + s["n"] * ratio)
-            a += s["A"] - w * np.outer(s["s"], s["s"])
-            b += s["b"] - w * s["s"] * s["t"]
-            c += s["c"] - w * s["t"] ** 2
-            logs += math.log1p(s["n"] * ratio)
+            a += s["A"] - w * s["ss"]
+            b += s["b"] - w * s["st"]
+            c += s["c"] - w * s["tt"]
+            logs += s["m"] * math.log1p(s["n"] * ratio)
         beta = np.linalg.lstsq(a, b, rcond=None)[0]
         sigma2 = max((c - b @ beta) / max(1, n - p), 1e-300)
         return beta, sigma2, a, -0.5 * ((n - p) * math.log(sigma2) + logs + np.linalg.slogdet(a)[1])
@@ -86,7 +94,7 @@ def mixed_model(df: DataFrame, y: str, factors: list[str], group: str, scope: st
     schema = "dv string, scope string, term string, estimate double, ci_low double, ci_high double, p double, icc double"
     df, names, terms = design(df, factors, interactions)
     stats = sufficient(df, y, terms, group)
-    if len(stats) < least:
+    if sum(s["m"] for s in stats) < least:
         return spark.createDataFrame([], schema)
     m = reml(stats)
     rows = []

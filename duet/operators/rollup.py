@@ -22,29 +22,33 @@ def top_labels(df: DataFrame, by: list[str], label: str, k: int = 3, sep: str =
     return top.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__n", label))), lambda x: x[label]), sep).alias(name))
 
 
-def topic_level(df: DataFrame, person: str, topic: str, duration: str, stance: str = "stance", code: str | None = None) -> DataFrame:
+def topic_level(df: DataFrame, person: str, topic: str, duration: str, stance: str = "stance", code: str | None = None, valence: str = "tx_z") -> DataFrame:
     """One row for each person and topic: counts, talk time, means and deviations, shares, and the dominant codes."""
     rows = df.where(F.col(person).isNotNull() & F.col(topic).isNotNull())
     out = rows.groupBy(person, topic).agg(
         F.count("*").alias("n_utt"), F.sum(duration).alias("talk_time_s"), F.avg("fused_valence").alias("mean_valence"), F.stddev_samp("fused_valence").alias("sd_valence"),
-        F.avg("fused_arousal").alias("mean_arousal"), F.stddev_samp("fused_arousal").alias("sd_arousal"), prop_negative(stance).alias("prop_negative"), F.avg(F.col("discord_flag").cast("double")).alias("prop_discord"),
+        F.avg("fused_arousal").alias("mean_arousal"), F.stddev_samp("fused_arousal").alias("sd_arousal"), F.avg(valence).alias("mean_tx_valence"), prop_negative(stance).alias("prop_negative"), F.avg(F.col("discord_flag").cast("double")).alias("prop_discord"),
     )
     return out.join(top_labels(rows, [person, topic], code, name="dominant_codes"), [person, topic], "left") if code else out
 
 
-def participant_level(df: DataFrame, person: str, topic: str, duration: str, base: str, excluded: str, shifts: list[str]) -> DataFrame:
-    """One row for each person, with the spread, the most emotional topic and the shifts of topics against ``base``."""
+def participant_level(df: DataFrame, person: str, topic: str, duration: str, base: str, excluded: str, shifts: list[str], code: str = "code", arousal: str | None = None) -> DataFrame:
+    """One row for each person, with the spread, the number of distinct codes, the most emotional topic, the shifts of topics against ``base``, and that of
+    the topic ``arousal`` in arousal."""
     rows = df.where(F.col(person).isNotNull())
     spread = F.percentile("fused_arousal", F.array(F.lit(0.9), F.lit(0.1)))
     total = rows.groupBy(person).agg(
         F.count("*").alias("n_utt"), (F.sum(duration) / 60).alias("talk_time_min"), F.avg("fused_valence").alias("overall_mean_valence"), F.avg("fused_arousal").alias("overall_mean_arousal"),
-        spread.alias("__q"), F.stddev_samp("fused_valence").alias("valence_sd"), F.avg(F.col("discord_flag").cast("double")).alias("prop_discord"), F.count_distinct(topic).alias("n_topics"),
+        spread.alias("__q"), F.stddev_samp("fused_valence").alias("valence_sd"), F.avg(F.col("discord_flag").cast("double")).alias("prop_discord"), F.count_distinct(topic).alias("n_topics"), F.count_distinct(code).alias("n_distinct_codes"),
     )
     total = total.withColumn("arousal_range", F.col("__q")[0] - F.col("__q")[1]).drop("__q")
     means = rows.where(F.col(topic) != excluded).groupBy(person, topic).agg(F.avg("fused_valence").alias("m"), F.avg(F.abs("fused_valence")).alias("strength"))
     most = means.groupBy(person).agg(F.min(F.struct((-F.col("strength")).alias("k"), F.col(topic).alias("topic"))).alias("x")).select(person, F.col("x.topic").alias("most_emotional_topic"))
     wide = means.groupBy(person).pivot(topic, [base, *shifts]).agg(F.first("m"))
     wide = wide.select(person, *[(F.col(f"`{s}`") - F.col(f"`{base}`")).alias(f"shift_{s}_vs_{base}") for s in shifts])
+    if arousal:
+        of = lambda t: F.avg(F.when(F.col(topic) == t, F.col("fused_arousal")))
+        total = total.join(rows.groupBy(person).agg((of(arousal) - of(base)).alias(f"arousal_shift_{arousal}")), person, "left")
     return total.join(most, person, "left").join(wide, person, "left")
 
 
@@ -78,7 +82,7 @@ def code_by_group(coded: DataFrame, people: DataFrame, person: str, code: str, g
     """
     pool = people.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_distinct(person).alias("pool"))
     said = coded.join(people.select(person, group).distinct(), person).groupBy(code, group).agg(F.count_distinct(person).alias("said"))
-    grid = coded.select(code).distinct().crossJoin(pool)
+    grid = said.select(code).distinct().crossJoin(pool)  # the same aggregate again, so its exchange is used twice
     out = grid.join(said, [code, group], "left").withColumn("said", F.coalesce("said", F.lit(0)).cast("long"))
     return out.withColumn("cell", F.concat_ws("/", F.col("said").cast("string"), F.col("pool").cast("string")))
 

@@ -134,12 +134,22 @@ def krippendorff_alpha(df: DataFrame, unit: str, rating: str) -> DataFrame:
 
 
 def t_test_1samp(df: DataFrame, contrast: str, value: str, least: int = 5) -> DataFrame:
-    """Per contrast: n_people, mean_shift, sd, t and n_moved_down, where at least ``least`` people have a value."""
+    """Per contrast: n_people, mean_shift, sd, t, two-sided p and n_moved_down, where at least ``least`` people have a value."""
     rows = df.where(F.col(value).isNotNull()).groupBy(contrast).agg(
         F.count("*").alias("n_people"), F.avg(value).alias("mean_shift"), F.stddev_samp(value).alias("sd"), F.sum((F.col(value) < 0).cast("long")).alias("n_moved_down")
     )
     t = F.try_divide(F.col("mean_shift"), F.col("sd") / F.sqrt(F.col("n_people").cast("double")))
-    return rows.where(F.col("n_people") >= least).withColumn("t", t)
+    return rows.where(F.col("n_people") >= least).withColumn("t", t).withColumn("p", t_p("t", "n_people - 1"))
+
+
+def t_p(t: str, df: str) -> Column:
+    """Two-sided p of Student's t with whole degrees of freedom (expressions), by its finite series in powers of the squared cosine of
+    atan(t / sqrt(df))."""
+    even, c2, terms = f"(({df}) % 2 = 0)", f"(({df}) / (({df}) + {t} * {t}))", f"(({df}) - IF(({df}) % 2 = 0, 0, 1)) div 2"
+    step = f"IF({even}, (2 * k - 1) / (2D * k), (2 * k) / (2D * k + 1))"
+    total = f"IF({terms} < 1, 0D, aggregate(sequence(1L, greatest(1L, {terms})), named_struct('a', 1D, 's', 0D), (x, k) -> named_struct('a', x.a * {c2} * {step}, 's', x.s + x.a), x -> x.s))"
+    sine = f"(abs({t}) / sqrt(({df}) + {t} * {t}))"
+    return F.expr(f"1 - IF({even}, {sine} * {total}, 2 / pi() * (atan(abs({t}) / sqrt({df})) + {sine} * sqrt({c2}) * {total}))")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -103,41 +103,45 @@ def _(spark, d):
 
 @query("fusion_sensitivity", f"""WITH {_Z}, w AS (SELECT unnest({list(WEIGHTS)!r}::DOUBLE[]) AS wa), v AS (SELECT wa, topic, wa*ac_z+(1-wa)*tx_z AS v, 0.5*ac_z+0.5*tx_z AS v0 FROM z CROSS JOIN w),
  r AS (SELECT wa, round(corr(v,v0),4) AS corr_with_default FROM v GROUP BY wa), m AS (SELECT wa, topic, avg(v) AS m FROM v WHERE topic<>'{EXCLUDED}' GROUP BY ALL),
- e AS (SELECT wa, arg_max(topic,m) AS most_positive, arg_min(topic,m) AS most_negative, round(max(m),5) AS max_mean, round(min(m),5) AS min_mean FROM m GROUP BY wa) SELECT * FROM r JOIN e USING (wa)""")
+ e AS (SELECT wa, arg_max(topic,m) AS most_positive, arg_min(topic,m) AS most_negative, round(max(m),5) AS max_mean, round(min(m),5) AS min_mean, {", ".join(f"round(max(m) FILTER (topic='{t}'),5) AS mean_{t}" for t in [BASE, *OTHERS])} FROM m GROUP BY wa) SELECT * FROM r JOIN e USING (wa)""")
 def _(spark, d):
-    out = FU.fusion_sensitivity(scored(spark, d), "topic", EXCLUDED)
-    return out.select("wa", F.round("corr_with_default", 4).alias("corr_with_default"), "most_positive", "most_negative", F.round("max_mean", 5).alias("max_mean"), F.round("min_mean", 5).alias("min_mean"))
+    out = FU.fusion_sensitivity(scored(spark, d), "topic", EXCLUDED, topics=[BASE, *OTHERS])
+    return out.select("wa", F.round("corr_with_default", 4).alias("corr_with_default"), "most_positive", "most_negative", F.round("max_mean", 5).alias("max_mean"), F.round("min_mean", 5).alias("min_mean"), *[F.round(f"mean_{t}", 5).alias(f"mean_{t}") for t in [BASE, *OTHERS]])
 
 
 @query("topic_level", f"""WITH {_FUSED}, a AS (SELECT user_id, topic, count(*) AS n_utt, sum(tx) AS talk_time_s, round(avg(fused_valence),4) AS mean_valence, round(stddev_samp(fused_valence),4) AS sd_valence,
- round(avg(fused_arousal),4) AS mean_arousal, round(CASE WHEN count(stance)>0 THEN count(*) FILTER (stance='negative')/count(*) END,4) AS prop_negative, round(avg(discord_flag),4) AS prop_discord FROM fused GROUP BY ALL),
+ round(avg(fused_arousal),4) AS mean_arousal, round(stddev_samp(fused_arousal),4) AS sd_arousal, round(avg(tx_z),4) AS mean_tx_valence, round(CASE WHEN count(stance)>0 THEN count(*) FILTER (stance='negative')/count(*) END,4) AS prop_negative, round(avg(discord_flag),4) AS prop_discord FROM fused GROUP BY ALL),
  c AS (SELECT user_id, topic, code, count(*) AS c FROM fused WHERE code IS NOT NULL GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY user_id, topic ORDER BY c DESC, code) AS n FROM c)
  SELECT a.*, s.dominant_codes FROM a LEFT JOIN (SELECT user_id, topic, string_agg(code,'|' ORDER BY n) AS dominant_codes FROM t WHERE n<=3 GROUP BY ALL) s USING (user_id, topic)""")
 def _(spark, d):
     out = RO.topic_level(fused(spark, d), "user_id", "topic", "tx", code="code")
-    return out.select("user_id", "topic", "n_utt", "talk_time_s", *[F.round(c, 4).alias(c) for c in ("mean_valence", "sd_valence", "mean_arousal", "prop_negative", "prop_discord")], "dominant_codes")
+    return out.select("user_id", "topic", "n_utt", "talk_time_s", *[F.round(c, 4).alias(c) for c in ("mean_valence", "sd_valence", "mean_arousal", "sd_arousal", "mean_tx_valence", "prop_negative", "prop_discord")], "dominant_codes")
 
 
 @query("participant_level", f"""WITH {_FUSED}, a AS (SELECT user_id, count(*) AS n_utt, round(sum(tx)/60,4) AS talk_time_min, round(avg(fused_valence),4) AS overall_mean_valence, round(avg(fused_arousal),4) AS overall_mean_arousal,
- round(quantile_cont(fused_arousal,0.9)-quantile_cont(fused_arousal,0.1),4) AS arousal_range, round(stddev_samp(fused_valence),4) AS valence_sd, round(avg(discord_flag),4) AS prop_discord, count(DISTINCT topic) AS n_topics FROM fused GROUP BY user_id),
+ round(quantile_cont(fused_arousal,0.9)-quantile_cont(fused_arousal,0.1),4) AS arousal_range, round(stddev_samp(fused_valence),4) AS valence_sd, round(avg(discord_flag),4) AS prop_discord, count(DISTINCT topic) AS n_topics, count(DISTINCT code) AS n_distinct_codes, round(avg(fused_arousal) FILTER (topic='error')-avg(fused_arousal) FILTER (topic='{BASE}'),4) AS arousal_shift_error FROM fused GROUP BY user_id),
  m AS (SELECT user_id, topic, avg(fused_valence) AS m, avg(abs(fused_valence)) AS s FROM fused WHERE topic<>'{EXCLUDED}' GROUP BY ALL),
  e AS (SELECT user_id, topic AS most_emotional_topic FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, topic) AS n FROM m) WHERE n=1),
  w AS (SELECT user_id, {", ".join(f"round(max(m) FILTER (topic='{o}')-max(m) FILTER (topic='{BASE}'),4) AS shift_{o}_vs_{BASE}" for o in OTHERS)} FROM m GROUP BY user_id)
  SELECT * FROM a LEFT JOIN e USING (user_id) LEFT JOIN w USING (user_id)""")
 def _(spark, d):
-    out = RO.participant_level(fused(spark, d), "user_id", "topic", "tx", BASE, EXCLUDED, OTHERS)
-    keep = ["user_id", "n_utt", "n_topics", "most_emotional_topic"]
+    out = RO.participant_level(fused(spark, d), "user_id", "topic", "tx", BASE, EXCLUDED, OTHERS, arousal="error")
+    keep = ["user_id", "n_utt", "n_topics", "n_distinct_codes", "most_emotional_topic"]
     return out.select(*keep, *[F.round(c, 4).alias(c) for c in out.columns if c not in keep])
 
 
 _SHIFTS = "w AS (SELECT user_id, " + ", ".join(f"avg(fused_valence) FILTER (topic='{t}') AS {t}" for t in [BASE, *OTHERS]) + " FROM fused GROUP BY user_id), s AS (" + " UNION ALL ".join(f"SELECT '{o}_vs_{BASE}' AS contrast, {o}-{BASE} AS shift FROM w" for o in OTHERS) + ")"
 
 
-@query("topic_shift_tests", f"""WITH {_FUSED}, {_SHIFTS} SELECT contrast, count(*) AS n_people, round(avg(shift),5) AS mean_shift, round(stddev_samp(shift),5) AS sd,
- round(avg(shift)/(stddev_samp(shift)/sqrt(count(*))),4) AS t, CAST(sum(CAST(shift<0 AS INT)) AS BIGINT) AS n_moved_down FROM s WHERE shift IS NOT NULL GROUP BY contrast HAVING count(*)>=5""")
+@query("topic_shift_tests", f"""WITH {_FUSED}, {_SHIFTS}, q AS (SELECT contrast, count(*) AS n_people, avg(shift) AS m, stddev_samp(shift) AS sd, avg(shift)/(stddev_samp(shift)/sqrt(count(*))) AS t, count(*)-1 AS v,
+ CAST(sum(CAST(shift<0 AS INT)) AS BIGINT) AS n_moved_down FROM s WHERE shift IS NOT NULL GROUP BY contrast HAVING count(*)>=5),
+ p AS (SELECT *, abs(t)/sqrt(v+t*t) AS si, v/(v+t*t) AS c2 FROM q)
+ SELECT contrast, n_people, round(m,5) AS mean_shift, round(sd,5) AS sd, round(t,4) AS t, n_moved_down, round(1 - CASE WHEN v%2=0
+ THEN si*list_sum(list_transform(range(0, v//2), lambda k: exp(lgamma(k+0.5)-lgamma(k+1.0))/sqrt(pi())*pow(c2,k)))
+ ELSE 2/pi()*(atan(abs(t)/sqrt(v))+si*sqrt(c2)*coalesce(list_sum(list_transform(range(0, (v-1)//2), lambda k: exp(lgamma(k+1.0)-lgamma(k+1.5))*sqrt(pi())/2*pow(c2,k))),0)) END,6) AS p FROM p""")
 def _(spark, d):
     out = RO.topic_shift_tests(fused(spark, d), "user_id", "topic", "fused_valence", BASE, OTHERS)
-    return out.select("contrast", "n_people", F.round("mean_shift", 5).alias("mean_shift"), F.round("sd", 5).alias("sd"), F.round("t", 4).alias("t"), "n_moved_down")
+    return out.select("contrast", "n_people", F.round("mean_shift", 5).alias("mean_shift"), F.round("sd", 5).alias("sd"), F.round("t", 4).alias("t"), "n_moved_down", F.round("p", 6).alias("p"))
 
 
 @query("code_frequency", f"""WITH {_CODED} SELECT code_id, count(*) AS n_mentions, count(DISTINCT source) AS n_people, round(100*count(DISTINCT source)/(SELECT count(DISTINCT source) FROM documents),4) AS pct_people FROM coded GROUP BY code_id""")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..operators.align import edit_counts, words
 from ..sources.tables import table
@@ -16,14 +16,18 @@ TOPIC_EMOTION = """SELECT topic, count(*) AS n, round(avg(fused_valence), 4) AS
 FROM fused WHERE topic <> '{excluded}' GROUP BY topic"""
 
 
+def _word_errors(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_counts(words(x), words(y))[0] for x, y in zip(a, b)], dtype="int32")
+
+
 def register(spark: SparkSession, folder: str) -> None:
     """Views of the tables, and ``timeline`` and ``fused`` made of ``events``; functions ``word_errors`` and ``role_letter``."""
     for t in TABLES:
         table(spark, folder, t).createOrReplaceTempView(t)
     events(spark, folder).createOrReplaceTempView("timeline")
     fused(spark, folder).createOrReplaceTempView("fused")
-    spark.udf.register("word_errors", lambda a, b: edit_counts(words(a), words(b))[0], "int")
-    spark.udf.register("role_letter", lambda r: r[:1].upper() if r else None, StringType())
+    spark.udf.register("word_errors", F.pandas_udf(_word_errors, "int"))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION role_letter(r STRING) RETURNS STRING RETURN nullif(upper(substring(r, 1, 1)), '')")
 
 
 def run(spark: SparkSession, folder: str, sql: str) -> DataFrame:

@@ -107,7 +107,8 @@ def test_redaction(spark):
     assert df.select(T.redact(F.col("t"), ["Anneke"]).alias("x")).first().x == "Call [NAME] at [PHONE] or [EMAIL]; Banneker stays"
     df = spark.createDataFrame([("Ann Lee came", [(1, 2), (4, 5)])], "t string, s array<struct<start:int,end:int>>")
     assert T.redact_spans(df, "t", "s").first().t == "[NAME] came"
-    assert T.merge_spans([(5, 8), (0, 4), (9, 10)]) == [(0, 10)]
+    assert T.hide("Ann Lee came by, said Bo-Li’s aunt.", [(1, 2), (4, 5), (22, 24)], "#") == "# came by, said # aunt."
+    assert T.hide("Ann, then Bo", [(10, 12), (0, 3), (1, 2)], "#") == "#, then #" and T.hide("none", [], "#") == "none"
 
 
 def test_wer_and_alignment(spark):
@@ -144,6 +145,12 @@ def test_reml_matches_balanced_anova(spark):
 def test_p_values():
     assert stats.t_p_value(2.262157, 9) == pytest.approx(0.05, abs=1e-6)
     assert stats.t_p_value(0, 5) == pytest.approx(1)
+
+
+def test_p_column_equals_p_value(spark):
+    rows = [(t, n) for n in (2, 3, 4, 5, 8, 33, 151, 1000) for t in (0.0, -0.3, 1.7, 4.5)]
+    for r in spark.createDataFrame(rows, "t double, n long").withColumn("p", stats.t_p("t", "n - 1")).collect():
+        assert r.p == pytest.approx(stats.t_p_value(r.t, r.n - 1), abs=1e-12)
     assert stats.normal_p_value(1.959964) == pytest.approx(0.05, abs=1e-6)
 
 
