@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -90,6 +91,19 @@ class Scratch:
         del self.folders[:end]
 
 
+_left: dict[tuple[str, int], Scratch] = {}
+
+
+def stage_scratch(spark: SparkSession) -> Scratch:
+    """The tables of a pipeline stage. Its result is written before the next stage begins (the pipeline's contract), so those that
+    the stage before left in this thread are deleted."""
+    key = (spark.sparkContext.applicationId, threading.get_ident())
+    if key in _left:
+        _left[key].drop()
+    _left[key] = Scratch(spark)
+    return _left[key]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return Scratch(spark).path(name)
 

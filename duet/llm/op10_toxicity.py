@@ -297,9 +297,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
-    rows = Scratch(docs.sparkSession).table(sample(docs, labels, per_class), "sample")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(sample(docs, labels, per_class), "sample")
     features = select_features(frequencies(rows.where("not calibrate").select("text", "toxic")))
-    return fit(training_rows(rows, features), len(features)) | {"features": features}
+    found = training_rows(rows, features)
+    scratch.drop()
+    return fit(found, len(features)) | {"features": features}
 
 
 def _scored(model: dict, texts: list[bytes], tagger: Tagger) -> tuple[np.ndarray, list]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import NULL_ID, Scratch, arrow_map, by_bucket, bytes_of, col, fields, in_chunks, ints, mix, pack, packed, parallelism, ranges, text_bytes, unpack, with_row_id
+from .common import NULL_ID, Scratch, arrow_map, by_bucket, bytes_of, col, fields, in_chunks, ints, mix, pack, packed, parallelism, ranges, stage_scratch, text_bytes, unpack, with_row_id
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -398,13 +398,13 @@ def _merge(values: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), scratch: Scratch | None = None) -> DataFrame:
     """rid, doc_id, text, the columns ``keep``, head (false: an equal text is earlier) and v, the packed stretches, of every row."""
     spark = docs.sparkSession
     parts = parallelism(spark, 0)
     names = {f"k{i}": c for i, c in enumerate(keep)}
     frame = with_row_id(docs.select(col(id_col).cast("long").alias("doc_id"), col(text_col).alias("text"), *[col(c).alias(k) for k, c in names.items()]), "doc_id", "text", *names)
-    frame = Scratch(spark).table(frame, "numbered")
+    frame = (scratch or Scratch(spark)).table(frame, "numbered")
     many = text_bytes(frame) * 2 // SPAN
     anchor_bits, bits = max(8, (many // ANCHORS).bit_length()), max(8, (many // BUCKET).bit_length())
     heads = frame.where("text is not null").groupBy(F.unhex(F.md5(F.encode("text", "utf-8"))).alias("m"), F.octet_length("text").alias("n"))
@@ -453,7 +453,7 @@ def whole_characters(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return "".join(parts).encode()
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """docs with their repeats cut from the text (``n_chars``, if there, is counted anew); rows of which nothing is left go."""
     columns = docs.columns
     rest = tuple(c for c in columns if c != text_col)
@@ -469,7 +469,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), *(batch.column(i) for i in range(3, batch.num_columns))], ["text", *(f"k{i}" for i in range(len(rest)))]).filter(gone)
 
     names = {f"k{i}": c for i, c in enumerate(rest)}
-    found = repeats(docs, id_col, text_col, rest).select("text", "head", "v", *names)
+    found = repeats(docs, id_col, text_col, rest, scratch).select("text", "head", "v", *names)
     order = [("text" if c == text_col else f"k{rest.index(c)}") for c in columns]
     out = arrow_map(found, run, StructType([StructField("text", StringType()), *fields(docs, names).fields])).select(*order)
     if "n_chars" in columns:
@@ -484,4 +484,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated stretches; a document that repeats as a whole goes."""
-    return remove(docs)
+    return remove(docs, scratch=stage_scratch(spark))

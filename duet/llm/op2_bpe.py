@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import spec_of, word_bpe
-from .common import arrow_map, col, fields, in_chunks
+from .common import arrow_map, col, fields, in_chunks, stage_scratch
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -49,6 +49,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document, and the digest of what they decode to."""
+    stage_scratch(spark)
     coded = encode(docs)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
 

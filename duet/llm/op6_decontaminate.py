@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, col, fields, in_chunks
+from .common import arrow_map, col, fields, in_chunks, stage_scratch
 
 MATCH, COVER = 5, 0.5
 #: Bytes of benchmark text whose seeds are sent to the tasks at a time.
@@ -233,4 +233,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without a contaminating item."""
+    stage_scratch(spark)
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
