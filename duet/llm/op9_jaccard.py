@@ -24,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, by_bucket, col, components, in_chunks, ints, mix, pack, packed, parallelism, ranges, text_bytes, unpack, with_row_id
+from .common import Scratch, arrow_map, by_bucket, col, components, in_chunks, ints, mix, pack, packed, parallelism, ranges, stage_scratch, text_bytes, unpack, with_row_id
 
 WORDS, PERCENT = 5, 80
 #: Text bytes after which a task sends its shingles on, shingles of a bucket, sets and shingles of a block.
@@ -330,20 +330,21 @@ def _join(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["cid", "root", "links"])
 
 
-def _cut_blocks(batches):
-    """Sorted sets to blocks of bounded size, numbered by task and place."""
-    part, number, held, size = TaskContext.get().partitionId(), 0, 0, 0
-    for batch in batches:
-        t = batch.column(batch.schema.get_field_index("t"))
-        block = []
-        for n in pc.list_value_length(t).to_pylist():
-            if held and (held >= BLOCK_SETS or size + n > BLOCK_TOKENS):
-                number, held, size = number + 1, 0, 0
-            held, size = held + 1, size + n
-            block.append(part << 32 | number)
-        blobs = pa.array([np.asarray(x.values, np.int64).tobytes() for x in t], pa.binary())
-        get = lambda c: batch.column(batch.schema.get_field_index(c))
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), get("cid"), get("n"), get("w"), blobs], ["block", "cid", "n", "w", "tokens"])
+def _lay_out(least: int):
+    """Sorted sets with their room in the layout (their tokens, ``least`` at least) and where it begins within the task."""
+
+    def run(batches):
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            t = batch.column(batch.schema.get_field_index("t"))
+            room = np.maximum(np.asarray(pc.list_value_length(t), np.int64), least)
+            begin = at + np.cumsum(room) - room
+            at += int(room.sum())
+            blobs = pa.array([np.asarray(x.values, np.int64).tobytes() for x in t], pa.binary())
+            get = lambda c: batch.column(batch.schema.get_field_index(c))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(room), part)), pa.array(begin), pa.array(room), get("cid"), get("n"), get("w"), blobs], ["part", "begin", "room", "cid", "n", "w", "tokens"])
+
+    return run
 
 
 def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rid_col: str | None = None) -> DataFrame:
@@ -368,7 +369,11 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = components(stars, scratch=scratch).withColumnRenamed("node", "cid")
     members = order.join(listed, "cid").join(classes.select("cid", "w"), "cid").withColumn("least", F.array_min("t"))
     members = members.repartitionByRange("label", "least", "cid").sortWithinPartitions("label", "least", "cid").select("cid", "n", "w", "t")
-    members = scratch.table(arrow_map(members, _cut_blocks, "block long, cid long, n long, w long, tokens binary"), "members")
+    laid = scratch.table(arrow_map(members, _lay_out(-(-BLOCK_TOKENS // BLOCK_SETS)), "part long, begin long, room long, cid long, n long, w long, tokens binary"), "members")
+    # Blocks are cut from the whole layout, however many tasks sorted it; what is added up is a row for each task.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = laid.groupBy("part").agg(F.sum("room").alias("whole")).select("part", F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("before"))
+    members = laid.join(F.broadcast(ends), "part").select(F.floor((F.col("before") + F.col("begin")) / F.lit(BLOCK_TOKENS)).alias("block"), "cid", "n", "w", "tokens")
     sizes = members.groupBy("block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # Blocks of a shingle; equal lists of blocks, as the many common shingles of one family have, give their pairs once.
     lists = first.join(hubs.select("token"), "token").join(members.select("cid", "block"), "cid").groupBy("token").agg(F.sort_array(F.collect_set("block")).alias("b")).where("size(b) > 1").select("b").distinct()
@@ -403,6 +408,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the smallest id, with its own columns. The numbers of the rows are written
     with them, as a second scan may be split otherwise (it depends on the cores alive) and would number them anew."""
     names = [f"k{i}" for i in range(len(docs.columns))]  # own columns may have any names
-    numbered = Scratch(spark).table(with_row_id(docs.toDF(*names), *names), "numbered")
+    numbered = stage_scratch(spark).table(with_row_id(docs.toDF(*names), *names), "numbered")
     kept = jaccard_groups(numbered, f"k{docs.columns.index('doc_id')}", f"k{docs.columns.index('text')}", "rid").where("keep").select("rid")
     return numbered.join(kept, "rid", "left_semi").select(*names).toDF(*docs.columns)
