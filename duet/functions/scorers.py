@@ -5,6 +5,9 @@ A scorer takes a DataFrame and a text column and returns the DataFrame with its
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import STANCES
+from ..sources.tables import exists
 from .text import tokens
 
 
@@ -95,6 +99,55 @@ def parse_reply(reply: Column) -> Column:
     return F.from_json(F.regexp_extract(bare, r"(?s)(\[.*\])", 1), REPLY)
 
 
+def render(template: str, missing: str = "n/a") -> Column:
+    """A prompt: ``{column}`` is replaced by the column's text, ``{column:%+.1f}`` by its number in that format, null by ``missing``."""
+    out, at = [], 0
+    for m in re.finditer(r"\{(\w+)(?::(%[^}]+))?\}", template):
+        value = F.format_string(m[2], F.col(m[1])) if m[2] else F.col(m[1]).cast("string")
+        out += [F.lit(template[at : m.start()]), F.when(F.col(m[1]).isNotNull(), value).otherwise(missing)]
+        at = m.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def call_coder(chunks: DataFrame, prompt: str, call: Callable[[str], str], cache: str, attempts: int = 4, wait: float = 2.0, workers: int = 2, streak: int = 3, most: float = 0.1) -> DataFrame:
+    """The chunks with ``reply``, from a service that is slow, metered and fails at times.
+
+    Replies are kept in the table ``cache`` under the prompt's hash, so a run only asks for what no run before got. A call
+    that raises is made again, after ``wait`` seconds and then twice as long each time. A worker whose last ``streak`` chunks all failed
+    asks no more. The run is refused, its replies kept, if over ``most`` of the asked chunks have none. ``workers`` tasks ask at once.
+    """
+    spark, name = chunks.sparkSession, uuid.uuid4().hex
+    keyed = chunks.withColumn("chunk_key", F.sha2(F.col(prompt).cast("binary"), 256))
+    got = lambda: spark.read.parquet(cache).where("reply is not null").select("chunk_key", "reply").dropDuplicates(["chunk_key"])
+    todo = keyed.where(F.col(prompt).isNotNull()).select("chunk_key", F.col(prompt).alias("prompt")).dropDuplicates(["chunk_key"])
+    todo = todo.join(got(), "chunk_key", "left_anti") if exists(spark, cache) else todo
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        missed = 0
+        for f in frames:
+            replies, errors = [], []
+            for text in f["prompt"]:
+                reply, error = None, "not asked"
+                for i in range(attempts if missed < streak else 0):
+                    if i:
+                        time.sleep(wait * 2 ** (i - 1))
+                    try:
+                        reply, error = call(text), None
+                        break
+                    except Exception as e:
+                        error = str(e)
+                missed = 0 if error is None else missed + 1
+                replies.append(reply)
+                errors.append(error)
+            yield pd.DataFrame({"chunk_key": f["chunk_key"], "reply": replies, "error": errors})
+
+    asked = todo.repartition(workers).mapInPandas(run, "chunk_key string, reply string, error string").withColumn("run", F.lit(name))
+    asked.write.mode("append").parquet(cache)
+    this = spark.read.parquet(cache).where(F.col("run") == name).agg(F.count("*").alias("asked"), F.count_if(F.col("reply").isNull()).alias("failed")).first()
+    guard_failures(this.failed, this.asked, most)
+    return keyed.join(got(), "chunk_key", "left")
+
+
 def validate_codes(replies: DataFrame, reply: str, valid: DataFrame, codes: list[str], text: str) -> DataFrame:
     """A row for each valid item of the replies: known id, known codes only, a known stance or ``neutral``, and a key phrase of
     at most 200 characters that the utterance contains, else null with ``phrase_ok`` false. ``valid``: utt_id and ``text``."""

@@ -77,6 +77,11 @@ def forced_sample(sampled: DataFrame, forced: DataFrame, target: int, id_col: st
     return dedupe_first(forced, [id_col], [sampling_key(id_col, seed)]).unionByName(others.orderBy(sampling_key(id_col, seed), id_col).limit(room))
 
 
+def capped_sample(df: DataFrame, most: int, id_col: str, seed: int = 3) -> DataFrame:
+    """At most ``most`` rows, the first in sampling order."""
+    return df.orderBy(sampling_key(id_col, seed), id_col).limit(most)
+
+
 def annotation_sample(df: DataFrame, session: str, topic: str, value: str, flag: str, id_col: str, target: int = 400, seed: int = 7) -> DataFrame:
     """Rows to be rated: spread over session, topic and value tercile, all discordant rows in, with blank rater columns."""
     binned = quantile_bins(df, value)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import t_test_1samp
+from .timeline import dedupe_first
 
 
 def prop_negative(stance: str = "stance") -> Column:
@@ -122,6 +123,18 @@ def stance_shares(df: DataFrame, person: str, stance: str, skip: str = "na") ->
     return each.groupBy(stance).agg(F.sum("c").alias("c"), F.sum("own").alias("own")).crossJoin(F.broadcast(people)).select(stance, (F.col("c") / F.col("rows")).alias("pooled"), (F.col("own") / F.col("people")).alias("per_person"))
 
 
+def mostly_positive(df: DataFrame, person: str, stance: str, value: str = "positive", skip: str = "na", least: float = 0.5) -> DataFrame:
+    """Figure frame: how many people say ``value`` in more than ``least`` of their rows, and of how many."""
+    rows = df.where(F.col(stance).isNotNull() & (F.col(stance) != skip))
+    own = rows.groupBy(person).agg(F.avg((F.col(stance) == value).cast("double")).alias("own"))
+    return own.agg(F.count_if(F.col("own") > least).alias("n_mostly"), F.count("*").alias("n_people"))
+
+
+def attach(df: DataFrame, dimension: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The rows with a dimension's columns (session, person); a key that the dimension repeats counts once, its smallest row."""
+    return df.join(dedupe_first(dimension.select(key, *columns), [key], columns), key, "left")
+
+
 def case_people(df: DataFrame, person: str, value: str, least: int = 25) -> DataFrame:
     """Figure frame: of people with enough rows the two with the largest spread and the one with the smallest."""
     sd = df.groupBy(person).agg(F.count("*").alias("n"), F.stddev_samp(value).alias("sd")).where(F.col("n") >= least)
@@ -136,6 +149,12 @@ def compare_reference(found: DataFrame, reference: DataFrame, code: str, pct: st
     return joined.withColumn("rank", rank.cast("long")).withColumn("gap", F.col(pct) - F.col(ref_pct)).withColumn("alarm", F.col("gap") < alarm).withColumn("absent", F.col(pct) == 0)
 
 
+def reference_rows(reference: DataFrame, code: str, pct: str, label: str) -> DataFrame:
+    """The highest percentage among a code's rows of the reference and that row's label, of equals the smaller label."""
+    top = F.min(F.struct((-F.col(pct)).alias("k"), F.col(label).alias("label")))
+    return reference.groupBy(code).agg(F.max(pct).alias("max_pct"), top["label"].alias("top_row"))
+
+
 def rollup_levels(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Counts and means at every level of the hierarchy, with the level's number."""
     return df.rollup(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.grouping_id().cast("long").alias("level"))

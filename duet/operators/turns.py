@@ -35,6 +35,13 @@ def minor_speakers(df: DataFrame, session: str, speaker: str, amount: str, inter
     return speaker_shares(df.where(F.col(speaker) != interviewer), session, speaker, amount).where(F.col("share") < least)
 
 
+def unassign_minor(df: DataFrame, session: str, speaker: str, amount: str, interviewer: str, known: DataFrame, role: str = "speaker_role", least: float = 0.02) -> DataFrame:
+    """The rows with ``role`` set to ``unassigned`` for minor speakers that aren't among the ``known`` (session, speaker), those with an id."""
+    minor = minor_speakers(df, session, speaker, amount, interviewer, least).select(session, speaker).join(known.select(session, speaker).distinct(), [session, speaker], "left_anti")
+    out = df.join(minor.withColumn("__minor", F.lit(True)), [session, speaker], "left")
+    return out.withColumn(role, F.when(F.col("__minor"), "unassigned").otherwise(F.col(role))).drop("__minor")
+
+
 def assign_roles(turns: DataFrame, session: str, speaker: str, order: str, text: str, slate: str = T.SLATE, consent: str = T.CONSENT) -> DataFrame:
     """A row for each session: first speaker of the slate, of consent, the interviewer and its question rate.
 
@@ -94,3 +101,8 @@ def sentences_to_turns(df: DataFrame, by: list[str], start: str, utt: str, text:
     """One row a turn: first id, joined text, and the backchannel flag where all of its sentences have it."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(utt).alias("u"), F.col(text).alias("t")))), lambda x: x["t"]), " ")
     return df.groupBy(*by).agg(F.min(F.struct(F.col(start).alias("s"), F.col(utt).alias("u")))["u"].alias(utt), joined.alias(text), F.min(flag).alias(flag), F.count("*").alias("n_sentences"))
+
+
+def codes_to_sentences(sentences: DataFrame, coded: DataFrame, by: list[str]) -> DataFrame:
+    """Every sentence with the codes of its turn; sentences of turns without codes keep nulls."""
+    return sentences.join(coded, by, "left")

@@ -30,6 +30,11 @@ def register(spark: SparkSession, folder: str) -> None:
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION role_letter(r STRING) RETURNS STRING RETURN nullif(upper(substring(r, 1, 1)), '')")
 
 
+def register_function(spark: SparkSession, name: str, function, returns: str) -> None:
+    """A function of one's own for SQL, on pandas series (a batch at a time, never a row)."""
+    spark.udf.register(name, F.pandas_udf(function, returns))
+
+
 def run(spark: SparkSession, folder: str, sql: str) -> DataFrame:
     register(spark, folder)
     return spark.sql(sql)

@@ -18,6 +18,9 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header that begins with a byte order mark, in each file."""
+    first, *others = df.columns
+    df = df.toDF("\ufeff" + first, *others)
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
@@ -63,5 +66,29 @@ def split_restricted(df: DataFrame, private: list[str], key: str) -> tuple[DataF
     return df.drop(*private), df.select(key, *private)
 
 
+def write_restricted(df: DataFrame, private: list[str], key: str, public: str, restricted: str) -> None:
+    """The public columns to one folder and the private ones, with the key, to another that mustn't lie within it."""
+    if f"{restricted.rstrip('/')}/".startswith(f"{public.rstrip('/')}/"):
+        raise ValueError("the restricted folder lies within the public one")
+    for part, path in zip(split_restricted(df, private, key), (public, restricted)):
+        part.write.mode("overwrite").parquet(path)
+
+
+def present(df: DataFrame, names: list[str] = (), prefixes: tuple[str, ...] = ()) -> list[str]:
+    """Of the named columns, and of those with a prefix, the ones that the table has, in its order."""
+    return [c for c in df.columns if c in names or (prefixes and c.startswith(tuple(prefixes)))]
+
+
+def landing(df: DataFrame, names: dict[str, str], suffix: str = "", only: tuple[str, ...] = ()) -> DataFrame:
+    """Columns renamed as far as present, then ``suffix`` put to those in ``only``."""
+    df = df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns})
+    return df.withColumnsRenamed({c: c + suffix for c in only if c in df.columns})
+
+
+def lookup(files: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(files with what is known by their key, files that nothing is known of, those without a key too)."""
+    return files.join(known, key), files.join(known.select(key).distinct(), key, "left_anti")
+
+
 def debug_limit(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)

@@ -278,3 +278,101 @@ def test_forced_sample_query_takes_every_discordant_row(spark):
     sampled = {r.event_id for r in catalog.QUERIES["stratified_sample"](spark, folder).collect()}
     assert set(got) - want <= sampled
     assert len(got) == max(len(want), min(400, len(want | sampled)))
+
+
+def test_csv_files_begin_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([("u1", "é"), ("u2", "b")], "k string, t string").repartition(2)
+    tables.write_csv(df, str(tmp_path / "c"))
+    files = list((tmp_path / "c").glob("*.csv"))
+    assert files and all(f.read_bytes().startswith(b"\xef\xbb\xbfk,t\n") for f in files)
+
+
+def test_restricted_columns_are_written_apart(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "k int, shown string, secret string")
+    tables.write_restricted(df, ["secret"], "k", str(tmp_path / "public"), str(tmp_path / "private"))
+    assert spark.read.parquet(str(tmp_path / "public")).columns == ["k", "shown"]
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "private")).collect())) == [(1, "x"), (2, None)]
+    with pytest.raises(ValueError):
+        tables.write_restricted(df, ["secret"], "k", str(tmp_path / "public"), str(tmp_path / "public" / "private"))
+
+
+def test_landing_and_present(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, em_x int, em_y int")
+    assert tables.landing(df, {"a": "id", "q": "r"}, "_z", ("em_x", "no")).columns == ["id", "em_x_z", "em_y"]
+    assert tables.present(df, ["a", "q"]) == ["a"] and tables.present(df, ["a"], ("em_",)) == ["a", "em_x", "em_y"] and tables.present(df) == []
+
+
+def test_lookup_reports_files_without_a_match(spark):
+    files = spark.createDataFrame([("f1", "a"), ("f2", "z"), ("f3", None)], "f string, k string")
+    matched, rest = tables.lookup(files, spark.createDataFrame([("a", "S01")], "k string, s string"), "k")
+    assert [(r.f, r.s) for r in matched.collect()] == [("f1", "S01")] and sorted(r.f for r in rest.collect()) == ["f2", "f3"]
+
+
+def test_names_are_hidden_in_two_passes(spark):
+    said = [(1, "my name is Bo Änne and José knows ANNE; banne stays"), (2, None), (3, ""), (None, "Anne's aunt Joanne, anne_2"), (1, "okay Anne")]
+    df = spark.createDataFrame(said, "k int, t string")
+    assert [r.name for r in T.collect_names(df, "t").collect()] == ["Bo"]  # the cue's letters are plain
+    names = spark.createDataFrame([("Anne",), ("anne",), ("Bo",), ("José",)], "name string")
+    got = {(r.k, r.t) for r in T.redact_names(df, "k", "t", names).collect()}
+    assert got == {(1, "my name is [NAME] Änne and [NAME] knows [NAME]; banne stays"), (2, None), (3, ""), (None, "[NAME]'s aunt Joanne, anne_2"), (1, "okay [NAME]")}
+    assert {r.t for r in T.redact_names(df, "k", "t", names.limit(0)).collect()} == {t for _, t in said}
+
+
+def test_minor_speakers_without_an_id_are_unassigned(spark):
+    rows = [("s", "iv", 500), ("s", "p", 990), ("s", "x", 5), ("s", "y", 5), ("q", "iv", 1), ("q", "p", 1)]
+    df = spark.createDataFrame(rows, "s string, spk string, n int").withColumn("speaker_role", F.lit("participant"))
+    got = {(r.s, r.spk): r.speaker_role for r in turns.unassign_minor(df, "s", "spk", "n", "iv", df.where("spk = 'y'")).collect()}
+    assert {k for k, v in got.items() if v == "unassigned"} == {("s", "x")} and len(got) == 6
+
+
+def test_reference_rows_ties_and_dimension_repeats(spark):
+    ref = spark.createDataFrame([("A", 50.0, "y"), ("A", 50.0, "x"), ("A", 10.0, "a"), ("B", 5.0, "b")], "c string, p double, l string")
+    assert sorted(map(tuple, rollup.reference_rows(ref, "c", "p", "l").collect())) == [("A", 50.0, "x"), ("B", 5.0, "b")]
+    rows, dim = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(1, "b"), (1, "a"), (None, "n")], "k int, v string")
+    assert sorted(((r.k, r.v) for r in rollup.attach(rows, dim, "k", ["v"]).collect()), key=repr) == [(1, "a"), (2, None), (None, None)]
+
+
+def test_prompts_and_own_functions(spark):
+    from duet.plans import views
+
+    df = spark.createDataFrame([("a", 1.26), (None, None), ("{x}", -0.5)], "t string, z double")
+    got = [r.p for r in df.select(scorers.render("[{t}] {z:%+.1f}!").alias("p")).collect()]
+    assert got == ["[a] +1.3!", "[n/a] n/a!", "[{x}] -0.5!"]
+    views.register_function(spark, "twice_of", lambda x: x * 2, "double")
+    assert spark.sql("SELECT twice_of(1.5D) AS y").first().y == 3.0
+
+
+def test_coder_keeps_replies_and_asks_again_only_for_the_rest(spark, tmp_path):
+    asked, down, cache = tmp_path / "asked", tmp_path / "down", str(tmp_path / "cache")
+    chunks = spark.createDataFrame([(i, f"p{i % 8}") for i in range(10)], "i int, prompt string").unionByName(spark.createDataFrame([(99, None)], "i int, prompt string"))
+
+    def call(text):
+        with open(asked, "a") as f:
+            f.write(text + "\n")
+        if text == "p3" and down.exists():
+            raise OSError("busy")
+        return text.upper()
+
+    down.touch()
+    with pytest.raises(RuntimeError):
+        scorers.call_coder(chunks, "prompt", call, cache, attempts=2, wait=0.01)
+    lines = asked.read_text().split()
+    assert lines.count("p3") == 2 and sorted(lines) == sorted([f"p{i}" for i in range(8)] + ["p3"])  # one call a prompt, a retry for the failing
+    down.unlink()
+    got = {r.i: r.reply for r in scorers.call_coder(chunks, "prompt", call, cache, wait=0.01).collect()}
+    assert got == {99: None, **{i: f"P{i % 8}" for i in range(10)}}
+    assert asked.read_text().split() == lines + ["p3"]
+
+
+def test_coder_stops_after_a_streak_of_failures(spark, tmp_path):
+    asked = tmp_path / "asked"
+
+    def call(text):
+        with open(asked, "a") as f:
+            f.write(text + "\n")
+        raise OSError("throttled")
+
+    chunks = spark.createDataFrame([(f"p{i}",) for i in range(30)], "prompt string")
+    with pytest.raises(RuntimeError):
+        scorers.call_coder(chunks, "prompt", call, str(tmp_path / "cache"), attempts=1, workers=1)
+    assert len(asked.read_text().split()) == 3
