@@ -376,3 +376,19 @@ def test_coder_stops_after_a_streak_of_failures(spark, tmp_path):
     with pytest.raises(RuntimeError):
         scorers.call_coder(chunks, "prompt", call, str(tmp_path / "cache"), attempts=1, workers=1)
     assert len(asked.read_text().split()) == 3
+
+
+def test_nearest_by_cosine_is_exact_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 6))
+    x[1::9] = x[0]  # ties
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    groups = ["g" if i < 70 else "h" if i < 89 else "one" for i in range(90)]
+    df = spark.createDataFrame([(g, i, v.tolist()) for i, (g, v) in enumerate(zip(groups, x))] + [(None, 90, x[0].tolist()), ("h", 91, None)], "g string, i long, unit array<double>")
+    got = sorted((r.g, r.a, r["rank"], r.b) for r in reports.cosine_topk(df, "g", "i", "unit", 4, block=16).collect())
+    want = []
+    for i in range(90):
+        near = sorted((-round(float(x[i] @ x[j]), 9), j) for j in range(90) if j != i and groups[j] == groups[i])[:4]
+        want += [(groups[i], i, n + 1, j) for n, (_, j) in enumerate(near)]
+    assert got == sorted(want)
+    assert reports.cosine_topk(df.limit(0), "g", "i", "unit").count() == 0
