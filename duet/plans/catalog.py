@@ -522,4 +522,4 @@ def _(spark, d):
     return S.krippendorff_alpha(both, "doc_id", "v").withColumn("alpha", F.round("alpha", 6))
 
 
-from . import dimensions, views, worksheets  # noqa: E402,F401  they register their queries
+from . import dimensions, planted, views, worksheets  # noqa: E402,F401  they register their queries

@@ -1,5 +1,6 @@
 """Micro fixtures for edges: ties, gaps, missing values, enclosed intervals, and known statistics."""
 
+import datetime
 import math
 
 import numpy as np
@@ -392,3 +393,90 @@ def test_nearest_by_cosine_is_exact_over_blocks(spark):
         want += [(groups[i], i, n + 1, j) for n, (_, j) in enumerate(near)]
     assert got == sorted(want)
     assert reports.cosine_topk(df.limit(0), "g", "i", "unit").count() == 0
+
+
+def _wav(x, rate=16000):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(rate), w.writeframes((np.asarray(x) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def test_acoustic_scores_of_planted_tones(spark):
+    from duet.functions import acoustic
+
+    t = np.arange(16000) / 16000
+    # a second of a low quiet tone, one of a high loud tone, one of silence
+    x = np.concatenate([0.05 * np.sin(2 * np.pi * 110 * t), 0.5 * np.sin(2 * np.pi * 220 * t), np.zeros(16000)])
+    files = spark.createDataFrame([("s1", _wav(x)), ("s2", b"no sound"), ("s4", None)], "session_id string, content binary")
+    utterances = [("s1", "low", 0.0, 1.0), ("s1", "high", 1.0, 2.0), ("s1", "still", 2.0, 3.0), ("s1", "short", 0.0, 0.29), ("s1", "beyond", 9.0, 10.0), ("s1", "untimed", None, 1.0),
+                  ("s2", "damaged", 0.0, 1.0), ("s3", "absent", 0.0, 1.0), ("s4", "empty", 0.0, 1.0)]
+    u = spark.createDataFrame(utterances, "session_id string, utt_id string, start_s double, end_s double")
+    got = {r.utt_id: r for r in acoustic.acoustic_scores(u, files).collect()}
+    assert len(got) == len(utterances)
+    assert got["low"].f0_mean == pytest.approx(24, abs=0.05) and got["high"].f0_mean == pytest.approx(36, abs=0.05)
+    assert got["high"].loudness_mean > got["low"].loudness_mean and got["high"].ac_arousal > got["low"].ac_arousal
+    assert got["high"].jitter < 0.01 and got["high"].shimmer < 0.2 and got["high"].hnr > 20 and got["high"].voiced_per_s == 1
+    assert got["still"].f0_mean is None and got["still"].voiced_per_s == 0 and got["still"].egemaps_ok == 1
+    for name in ("short", "beyond", "untimed", "absent", "empty"):
+        assert got[name].egemaps_ok is None and got[name].ac_valence is None and got[name].loudness_mean is None
+    assert got["damaged"].egemaps_ok == 0 and got["damaged"].f0_mean is None
+    assert all(0 <= got[n][c] <= 1 for n in ("low", "high", "still") for c in acoustic.DIMENSIONS)
+    assert acoustic.acoustic_scores(u.limit(0), files).count() == 0
+
+
+def test_streamed_turns_equal_the_tables(spark, tmp_path):
+    from duet.streaming import turns, windows
+
+    import random
+
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    pick = random.Random(5)
+    rows = [(k % 3, at(k * 7 + pick.random()), pick.choice(["a", "a", "b", None]), pick.choice([f"t{k}", None])) for k in range(120)]
+    rows.append((0, at(100_000), "z", "end"))  # moves the watermark past all turns
+    schema = "session long, ts timestamp, who string, text string"
+    for k, part in enumerate([rows[:60:2] + rows[45:60:2], rows[1:44:2] + rows[60:], []]):
+        if part:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = turns.stream_turns(windows.file_stream(spark, str(tmp_path / "in"), schema, files=1), "ts", "session", "who", "text", 30.0, "1 hour")
+    q = stream.writeStream.format("memory").queryName("turns_out").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    assert q.exception() is None
+    sent = spark.createDataFrame([r for part in [rows[:60:2] + rows[45:60:2], rows[1:44:2] + rows[60:]] for r in part], schema)
+    want = turns.table_turns(sent, "ts", "session", "who", "text", 30.0).where("who is null or who <> 'z'")
+    assert sorted(map(repr, spark.table("turns_out").collect())) == sorted(map(repr, want.collect()))
+
+
+def test_entry_hides_only_the_absent_package(monkeypatch):
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    class Block:
+        def __init__(self, name):
+            self.name = name
+
+        def find_spec(self, name, path=None, target=None):
+            if name == self.name:
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+
+    def load(name):
+        import duet
+
+        with monkeypatch.context() as patch:
+            for m in [m for m in sys.modules if m in ("corpus_pipeline", "__spark_entry__") or m.startswith("duet.llm")]:
+                patch.delitem(sys.modules, m)
+            patch.delattr(duet, "llm", raising=False)
+            patch.setattr(sys, "meta_path", [Block(name), *sys.meta_path])
+            return importlib.import_module("__spark_entry__")
+
+    found = importlib.util.find_spec("corpus_pipeline") is not None
+    without = load("corpus_pipeline")
+    assert not [q for q in without.queries() if q.startswith("op")] and len(without.queries()) == len(entry.catalog.QUERIES)
+    if found:
+        with pytest.raises(ModuleNotFoundError):
+            load("duet.llm.common")
