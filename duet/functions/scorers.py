@@ -32,8 +32,9 @@ class LexiconSentiment:
 
     def apply(self, df: DataFrame, text: str) -> DataFrame:
         words = F.transform(F.split(F.lower(F.col(text)), r"\s+"), lambda w: F.regexp_replace(w, r"[.,!?]+$", ""))
-        hits = lambda lexicon: F.size(F.filter(words, lambda w: w.isin(*lexicon))).cast("double")
-        out = df.withColumn("__neg", hits(self.negative)).withColumn("__pos", hits(self.positive))
+        hits = lambda all, lexicon: F.size(F.filter(all, lambda w: w.isin(*lexicon))).cast("double")
+        both = F.transform(F.array(words), lambda all: F.array(hits(all, self.negative), hits(all, self.positive)))[0]  # words once for both counts
+        out = df.withColumn("__hits", both).withColumn("__neg", F.col("__hits")[0]).withColumn("__pos", F.col("__hits")[1]).drop("__hits")
         top = F.greatest("__neg", "__pos", F.lit(1.0))  # taken off before exp, so that no number of hits overflows
         out = out.withColumns({"__neg": F.exp(F.col("__neg") - top), "__pos": F.exp(F.col("__pos") - top), "__neu": F.exp(1.0 - top)})
         total = F.col("__neg") + F.col("__pos") + F.col("__neu")
@@ -61,11 +62,12 @@ class KeywordCoder:
         self.codebook, self.names = codebook, names or {}
 
     def apply(self, df: DataFrame, text: str) -> DataFrame:
-        df = df.withColumn("__words", tokens(F.col(text)))  # once a row, not once a code
-        words = F.col("__words")
-        marks = F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, keys))), F.lit(code)) for code, keys in self.codebook.items()]))
+        # The words are bound once in a lambda: as a column they would be copied into each code and each filter that is pushed down.
+        found = lambda w: F.array_compact(F.array(*[F.when(F.arrays_overlap(w, F.array(*map(F.lit, keys))), F.lit(code)) for code, keys in self.codebook.items()]))
+        df = df.withColumn("__marks", F.transform(F.array(tokens(F.col(text))), found)[0])
+        marks = F.col("__marks")
         named = F.transform(marks, lambda c: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k in self.codebook for x in (k, self.names.get(k, k))]), c), c))
-        return df.withColumns({"code_ids": F.array_join(marks, "|"), "code_names": F.array_join(named, "|"), "n_codes": F.size(marks)}).drop("__words")
+        return df.withColumns({"code_ids": F.array_join(marks, "|"), "code_names": F.array_join(named, "|"), "n_codes": F.size(marks)}).drop("__marks")
 
 
 class ModelScorer:

@@ -66,7 +66,7 @@ def topic_shift_tests(df: DataFrame, person: str, topic: str, value: str, base:
 
 def explode_codes(df: DataFrame, codes: str, sep: str = "|", name: str = "code_id") -> DataFrame:
     """A row for each label of a joined label string; null and empty strings have none."""
-    return df.where(F.col(codes).isNotNull() & (F.col(codes) != "")).withColumn(name, F.explode(F.split(F.col(codes), f"[{sep}]")))
+    return df.withColumn(name, F.explode(F.when(F.col(codes) != "", F.split(F.col(codes), f"[{sep}]"))))  # no filter, as it would score texts twice
 
 
 def code_frequency(df: DataFrame, person: str, code: str, people: DataFrame | None = None) -> DataFrame:
