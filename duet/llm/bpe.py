@@ -2,8 +2,9 @@
 
 ``WordBpe``: the vocabulary with word ends (normalised: NFC, lower case; white space dropped). ``ByteBpe``: the byte-level
 vocabulary. A text is first cut into chunks at white space, where no pre-token can cross; only chunks that a worker hasn't
-met lately are normalised, split and merged. Merging is batched: the symbols of many pre-tokens lie in one flat array, and
-each round looks all neighbouring pairs up by binary search over the sorted pair keys.
+met lately are normalised, split and merged. ``WordBpe`` cuts, lower-cases and splits whole arrays of bytes, and asks its
+memory once for each different chunk of a batch of texts. Merging is batched: the symbols of many pre-tokens lie in one flat
+array, and neighbouring pairs are looked up by binary search over the sorted pair keys.
 
 Null texts are empty, empty texts have no tokens. Texts of any length are taken whole; special strings inside texts become
 their one id, as the library does by default.
@@ -15,9 +16,10 @@ import heapq
 import json
 import re
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 import regex
 
 from .common import ranges
@@ -82,7 +84,7 @@ class Merges:
         """The start symbols of words laid end to end, and the words' lengths."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
-        sym = self.first[raw]
+        sym = np.take(self.first, raw)
         ends = np.cumsum(lens) - 1
         ends = ends[lens > 0]
         sym[ends] = self.last[raw[ends]]
@@ -92,9 +94,9 @@ class Merges:
 def merge(m: Merges, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Merge until no pair of any word is in the table: (symbols laid end to end, number for each word).
 
-    A round finds the rank of every neighbouring pair by binary search, and applies each word's lowest-rank pair wherever
-    it stands in the word, from the left; words without a pair leave the arrays. Words of over LONG symbols would need
-    too many rounds and are merged by a heap of pairs, with the same result.
+    A round applies each word's lowest-rank pair wherever it stands in the word, from the left; words without a pair leave
+    the arrays. Pairs are found by binary search, the first time all of them, then those that a round made. Words of over
+    LONG symbols would need too many rounds and are merged by a heap of pairs, with the same result.
     """
     n_words = len(lens)
     word = np.repeat(np.arange(n_words, dtype=np.int32), lens)
@@ -108,37 +110,49 @@ def merge(m: Merges, sym: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.
             done_w.append(np.full(len(out), w, np.int32))
         short = lens[word] <= LONG
         sym, word = sym[short], word[short]
-    while len(sym) > 1:
-        key = sym.astype(kind)
-        key = key[:-1] << kind.type(m.bits) | key[1:]
+    else:
+        sym = sym.copy()
+
+    def pairs(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and product of the pairs that begin at the places ``i``; no place is a word's last."""
+        key = np.take(sym, i).astype(kind) << kind.type(m.bits) | np.take(sym, i + 1).astype(kind)
         at = np.minimum(np.searchsorted(m.keys, key), len(m.keys) - 1)
-        hit = (m.keys[at] == key) & (word[:-1] == word[1:])
-        rank = np.full(len(sym), _NONE, np.int32)
-        rank[:-1][hit] = m.rank[at[hit]]
-        at = np.append(at, 0)
-        live = np.zeros(n_words, bool)
-        live[word[:-1][hit]] = True
-        live = live[word]
-        if not live.all():
+        return np.where(np.take(m.keys, at) == key, np.take(m.rank, at), _NONE), np.take(m.made, at)
+
+    rank, made = np.full(len(sym), _NONE, np.int32), np.zeros(len(sym), np.int32)
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    if len(inner) and len(m.keys):
+        rank[inner], made[inner] = pairs(inner)
+    while len(sym):
+        edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        size = np.diff(np.append(edge, len(word)))
+        least = np.minimum.reduceat(rank, edge)
+        if least.max() == _NONE:
+            live = np.repeat(least != _NONE, size)
             done_s.append(sym[~live])
             done_w.append(word[~live])
-            sym, word, rank, at = sym[live], word[live], rank[live], at[live]
+            sym, word, rank, made = sym[live], word[live], rank[live], made[live]
             if not len(sym):
                 break
-        edge = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-        least = np.repeat(np.minimum.reduceat(rank, edge), np.diff(np.append(edge, len(word))))
-        low = rank == least
-        i = np.arange(len(sym), dtype=np.int32)
-        start = np.maximum.accumulate(np.where(low & ~np.append(False, low[:-1]), i, 0))
-        pick = np.flatnonzero(low & ((i - start) % 2 == 0))  # of a run of equal symbols every second pair
-        sym = sym.copy()
-        sym[pick] = m.made[at[pick]]
+            least, size = least[least != _NONE], size[least != _NONE]
+        pick = np.flatnonzero(rank == np.repeat(least, size))
+        run = np.append(True, np.diff(pick) != 1)
+        if not run.all():  # of a run of equal symbols every second pair
+            start = np.maximum.accumulate(np.where(run, pick, 0))
+            pick = pick[(pick - start) % 2 == 0]
+        sym[pick] = made[pick]
+        rank[pick] = _NONE
         keep = np.ones(len(sym), bool)
         keep[pick + 1] = False
-        sym, word = sym[keep], word[keep]
-    done_s.append(sym)
-    done_w.append(word)
-    sym, word = np.concatenate(done_s), np.concatenate(done_w)
+        sym, word, rank, made = sym[keep], word[keep], rank[keep], made[keep]
+        pick -= np.arange(len(pick))
+        near = np.concatenate([pick, pick[pick > 0] - 1])
+        near = near[near < len(sym) - 1]
+        same = np.take(word, near) == np.take(word, near + 1)
+        near = near[same]
+        rank[near], made[near] = pairs(near)
+    word = np.concatenate([*done_w, np.empty(0, np.int32)])
+    sym = np.concatenate([*done_s, np.empty(0, np.int32)])
     return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=n_words).astype(np.int64)
 
 
@@ -219,12 +233,102 @@ class Growing:
         return self.room[: self.n]
 
 
+def chunks_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The texts cut at ASCII white space, each chunk with one space behind it, and the number for each text."""
+    raw = np.frombuffer(b" ".join(texts).translate(_SPACES) + b" ", np.uint8)
+    space = raw == 32
+    first = ~space
+    first[1:] &= space[:-1]
+    begin = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    n = np.diff(np.searchsorted(np.flatnonzero(first), begin), prepend=0)
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    raw = raw[keep]
+    return _strings(raw, np.append(0, np.flatnonzero(raw == 32) + 1)), n
+
+
+def _strings(raw: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The byte strings between neighbouring edges, with 64-bit offsets: a text may be as long as it likes."""
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
+
+
+def _laid(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of byte strings, and where each begins."""
+    if not len(strings):  # its buffers may be missing
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
+    _, edges, raw = strings.buffers()
+    edges = np.frombuffer(edges, np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    return np.frombuffer(raw, np.uint8)[edges[0] : edges[-1]], edges[:-1] - edges[0]
+
+
+def strings(array: pa.Array) -> list[bytes]:
+    raw, starts = _laid(array)
+    data, edges = raw.tobytes(), [*starts.tolist(), len(raw)]
+    return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+
+_SPACES = bytes(32 if b in b"\t\n\v\f\r" else b for b in range(256))
+_OTHER, _LETTER, _DIGIT, _END, _BAR = range(5)
+
+
+class Cutter:
+    """WORD_PATTERN over whole arrays of bytes, for chunks of ASCII and the letters of U+00C0 to U+00FF (two bytes, the first
+    0xC3). A character is taken if the file's normaliser makes one of the same kind and length of it; chunks that hold any
+    other byte or what may be a special string are left to the Splitter."""
+
+    def __init__(self, normalizer: object | None) -> None:
+        self.kind, self.low = np.full(256, _BAR, np.uint8), np.arange(256, dtype=np.uint8)
+        #: The same for the second byte after 0xC3.
+        self.kind_c3, self.low_c3 = np.full(256, _BAR, np.uint8), np.arange(256, dtype=np.uint8)
+        self.kind[0xC3] = _LETTER
+        self.kind[32] = _END
+        for c in map(chr, [*range(33, 128), *range(0xC0, 0x100)]):
+            raw, got = c.encode(), (normalizer.normalize_str(c) if normalizer else c).encode()
+            if len(got) != len(raw) or len(got) == 2 and (got[0] != 0xC3 or not got.decode().isalpha()):
+                continue
+            kind, low = (self.kind, self.low) if len(raw) == 1 else (self.kind_c3, self.low_c3)
+            kind[raw[-1]] = _LETTER if got.decode().isalpha() else _DIGIT if got.isdigit() else _OTHER
+            low[raw[-1]] = got[-1]
+
+    def cut(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray]:
+        """Which chunks are taken; their pre-tokens, end to end; the number for each of them."""
+        kind, low = np.take(self.kind, raw), np.take(self.low, raw)
+        lead = np.flatnonzero(raw == 0xC3)
+        if len(lead):  # a space is behind each chunk, so none is the last byte
+            kind[lead + 1] = np.take(self.kind_c3, raw[lead + 1])
+            low[lead + 1] = np.take(self.low_c3, raw[lead + 1])
+        bar = kind == _BAR
+        bar[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)
+        plain = np.ones(len(starts), bool)
+        if bar.any():
+            plain = ~np.logical_or.reduceat(bar, starts)
+            mine = np.repeat(plain, np.diff(starts, append=len(raw)))
+            kind, low = kind[mine], low[mine]
+        if not len(kind):
+            return plain, pa.array([], pa.large_binary()).dictionary_encode(), np.empty(0, np.int64)
+        new = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & (kind != _END)
+        mark = np.flatnonzero((low == 39) & new)
+        mark = mark[kind[mark + 1] == _LETTER]  # alone, before a letter: it may begin one of the pattern's endings
+        if len(mark):
+            a, b = low[mark + 1], low[np.minimum(mark + 2, len(low) - 1)]
+            one = np.isin(a, list(b"stmd"))
+            two = (np.isin(a, list(b"rv")) & (b == ord("e"))) | ((a == ord("l")) & (b == ord("l")))
+            new[mark[one | two] + 1] = False
+            rest = np.concatenate([mark[one] + 2, mark[two] + 3])
+            new[rest[kind[rest] == _LETTER]] = True
+        inside = kind != _END
+        edges = np.append(np.flatnonzero(new[inside]), np.count_nonzero(inside))
+        words = _strings(low[inside], edges).dictionary_encode()
+        return plain, words, np.diff(np.searchsorted(np.flatnonzero(new), np.flatnonzero(~inside)), prepend=0)
+
+
 class WordBpe:
     """Encoder and decoder for the vocabulary with word ends. Build once per worker; ``keep`` bounds the chunks remembered."""
 
     def __init__(self, spec_json: str, keep: int = 700_000) -> None:
         self.m = _merges(spec_json)
         self.split = Splitter(spec_json, WORD_PATTERN)
+        self.cut = Cutter(self.split.normalizer)
         self.keep = keep
         self.forget()
 
@@ -234,7 +338,7 @@ class WordBpe:
         self.forget_words()
 
     def forget_words(self) -> None:
-        self.word: dict[str | bytes | int, int] = {}
+        self.word: dict[bytes | int, int] = {}
         self.word_flat, self.word_start, self.word_size = Growing(np.int32), Growing(np.int64), Growing(np.int64)
 
     def thin(self) -> None:
@@ -254,38 +358,51 @@ class WordBpe:
         for array, x in ((self.flat, flat), (self.size, size), (self.start, np.cumsum(size) - size), (self.hits, hits)):
             array.add(x)
 
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode chunks that hold no ASCII white space and remember them."""
-        odd = ODD.search
-        ascii_, latin, rest = [], [], []
-        for c in chunks:
-            (rest if odd(c) else ascii_ if c.isascii() else latin).append(c)
-        words: list = []
-        count = [np.empty(0, np.int64)]
-        for part in (ascii_, latin):
-            if part:
-                w, n = self.split.plain(part)
-                words += w
-                count.append(n)
+    def number(self, words: list[bytes | int]) -> np.ndarray:
+        """The numbers of different pre-tokens; those not met lately are merged."""
+        at = np.fromiter(map(self.word.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            special = [i for i, w in enumerate(new) if isinstance(w, int)]
+            raw = [b"?" if isinstance(w, int) else w for w in new] if special else new
+            sym, lens = merge(self.m, *self.m.symbols(raw))
+            begin = np.cumsum(lens) - lens
+            for i in special:  # the string's id; "?" kept a single place for it
+                sym[begin[i]] = new[i]
+            at[missing] = own = self.word_start.n + np.arange(len(new))
+            self.word.update(zip(new, own.tolist()))
+            self.word_start.add(self.word_flat.n + begin)
+            self.word_size.add(lens)
+            self.word_flat.add(sym)
+        return at
+
+    def learn(self, chunks: pa.Array) -> np.ndarray:
+        """Encode different chunks, each with a space behind it and no other ASCII white space, and remember them: their numbers."""
+        raw, starts = _laid(chunks)
+        plain, at, n = self.cut.cut(raw, starts)
+        where = [self.number(strings(at.dictionary))[np.asarray(at.indices)] if len(at) else np.empty(0, np.int64)]
+        count = [n]
+        names = strings(chunks)
+        odd, latin, rest = ODD.search, [], []
+        for i in np.flatnonzero(~plain).tolist():
+            (rest if odd(names[i][:-1]) else latin).append(i)
+        words: list[bytes | int] = []
+        if latin:
+            got, n = self.split.plain([names[i][:-1] for i in latin])
+            words += [w.encode() for w in got]
+            count.append(n)
         more = []
-        for c in rest:
-            got = self.split.by_library(c.decode("utf-8", "replace"))
+        for i in rest:
+            got = self.split.by_library(names[i][:-1].decode("utf-8", "replace"))
             more.append(len(got))
             words += got
         count.append(np.array(more, np.int64))
-        new = [w for w in dict.fromkeys(words) if w not in self.word]
-        raw = [b"?" if isinstance(w, int) else w if isinstance(w, bytes) else w.encode() for w in new]
-        sym, lens = merge(self.m, *self.m.symbols(raw))
-        begin = np.cumsum(lens) - lens
-        for i, w in enumerate(new):
-            if isinstance(w, int):  # a special string's id; "?" kept a single place for it
-                sym[begin[i]] = w
-        n = self.word_start.n
-        self.word.update(zip(new, range(n, n + len(new))))
-        self.word_start.add(self.word_flat.n + begin)
-        self.word_size.add(lens)
-        self.word_flat.add(sym)
-        at = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        if words:
+            new = list(dict.fromkeys(words))
+            code = dict(zip(new, self.number(new).tolist()))
+            where.append(np.fromiter(map(code.__getitem__, words), np.int64, len(words)))
+        at = np.concatenate(where)
         sizes = self.word_size.all[at]
         total = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(np.concatenate(count))])
@@ -294,28 +411,31 @@ class WordBpe:
         self.start.add(self.flat.n + begin)
         self.size.add(end - begin)
         self.flat.add(self.word_flat.all[ranges(self.word_start.all[at], sizes)])
-        self.hits.add(np.zeros(len(chunks), np.int32))
-        self.seen.update(zip(ascii_ + latin + rest, range(n, n + len(chunks))))
+        self.hits.add(np.zeros(len(names), np.int32))
+        order = np.concatenate([np.flatnonzero(plain), np.array(latin + rest, np.int64)])
+        if latin or rest:
+            names = [names[i] for i in order.tolist()]
+        self.seen.update(zip(names, range(n, n + len(names))))
+        out = np.empty(len(names), np.int64)
+        out[order] = n + np.arange(len(names))
+        return out
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the UTF-8 texts laid end to end, and how many each text has."""
-        cut = [t.split() for t in texts]
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
         if len(self.seen) > self.keep:
             self.thin()
-        flat = list(chain.from_iterable(cut))
-        at = np.fromiter(map(self.seen.get, flat, repeat(-1)), np.int64, len(flat))
+        chunks, n = chunks_of(texts)
+        met = chunks.dictionary_encode()  # a worker's memory is asked once for each different chunk
+        names = strings(met.dictionary)
+        at = np.fromiter(map(self.seen.get, names, repeat(-1)), np.int64, len(names))
         missing = np.flatnonzero(at < 0)
-        if len(missing):
-            names = [flat[i] for i in missing.tolist()]
-            new = list(dict.fromkeys(names))
-            for k in range(0, len(new), 50_000):
-                self.learn(new[k : k + 50_000])
-            at[missing] = np.fromiter(map(self.seen.__getitem__, names), np.int64, len(names))
-        hits = self.hits.all
-        hits[at] = hits[at] + 1  # once for each batch of texts
-        sizes = self.size.all[at]
-        ids = self.flat.all[ranges(self.start.all[at], sizes)]
+        for k in range(0, len(missing), 50_000):
+            part = missing[k : k + 50_000]
+            at[part] = self.learn(met.dictionary.take(pa.array(part)))
+        self.hits.all[at] += 1  # once for each batch of texts
+        at = np.take(at, np.asarray(met.indices))
+        sizes = np.take(self.size.all, at)
+        ids = np.take(self.flat.all, ranges(np.take(self.start.all, at), sizes))
         ends = np.concatenate([[0], np.cumsum(sizes)])
         edges = np.concatenate([[0], np.cumsum(n)])
         return ids, ends[edges[1:]] - ends[edges[:-1]]

@@ -175,6 +175,40 @@ def test_op2_equals_library(spark):
             assert d.decode() == t.decode(want, skip_special_tokens=False)
 
 
+def test_word_encoder_asks_once_for_each_different_chunk():
+    class Asked(dict):
+        n = 0
+
+        def get(self, *a):
+            Asked.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            Asked.n += 1
+            return super().__getitem__(k)
+
+    t = library(op2_bpe.VOCABULARY)
+    coder = bpe.WordBpe(bpe.spec_of(op2_bpe.vocabulary_path()))
+    coder.seen = Asked()
+    x = "The fox, it's the other FOX. " * 2000
+    ids, counts = coder.encode([x.encode(), b"", b" the\nfox, "])
+    assert ids[: counts[0]].tolist() == t.encode(x, add_special_tokens=False).ids and counts[1:].tolist() == [0, 3]
+    assert len(coder.seen) == 6 and Asked.n <= 12
+
+
+def test_word_pieces_equal_library():
+    """The array cutter and what it leaves to the splitter, over endings, digits, marks, letters of one to four bytes and special strings."""
+    t = library(op2_bpe.VOCABULARY)
+    coder = bpe.WordBpe(bpe.spec_of(op2_bpe.vocabulary_path()), keep=500)
+    rng = random.Random(8)
+    alphabet = [*"abcstmdrvelSTRE \n\t09.<|\x7f\x1c", *"'" * 4, "'ll", "'RE", *map(chr, range(0xA0, 0x100)), *"İſΣ²½\u0301你😀\u3000", "<|endoftext|>"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 2, 5, 30, 300]))) for _ in range(600)]
+    for k in range(0, 600, 30):
+        ids, counts = coder.encode([x.encode() for x in texts[k : k + 30]])
+        for x, e, n in zip(texts[k : k + 30], np.cumsum(counts).tolist(), counts.tolist()):
+            assert ids[e - n : e].tolist() == t.encode(x, add_special_tokens=False).ids
+
+
 def test_op2_query_shape(edge):
     t = library(op2_bpe.VOCABULARY)
     got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in op2_bpe.encode(clashing(edge), raw=False).collect()}
@@ -205,6 +239,17 @@ def test_merge_rounds_equal_heap():
         assert flat[a : a + n] == bpe._merge_long(m, m.symbols([w])[0].tolist())
 
 
+def test_merge_looks_a_pair_up_when_it_arises(monkeypatch):
+    m = bpe.Merges(__import__("json").loads(bpe.spec_of(op2_bpe.vocabulary_path())))
+    rng = random.Random(6)
+    words = [bytes(rng.choice(b"aentih") for _ in range(150)) for _ in range(50)]
+    sym, lens = m.symbols(words)
+    begun, find, asked = sym.copy(), np.searchsorted, []
+    monkeypatch.setattr(bpe.np, "searchsorted", lambda a, v: asked.append(len(v)) or find(a, v))
+    bpe.merge(m, sym, lens)
+    assert sum(asked) <= 3 * len(sym) and (sym == begun).all()
+
+
 def test_op5_files(spark, edge):
     t = library(op2_bpe.VOCABULARY)
     path = new_path(spark, "ids")
