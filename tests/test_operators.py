@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import time
 
 import numpy as np
 import pytest
@@ -319,6 +320,17 @@ def test_names_are_hidden_in_two_passes(spark):
     assert {r.t for r in T.redact_names(df, "k", "t", names.limit(0)).collect()} == {t for _, t in said}
 
 
+def test_names_of_a_long_text_are_looked_up_by_hash(spark):
+    spell = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    n = 60_000  # names in one text; searched one by one for each piece, billions of comparisons
+    df = spark.createDataFrame([(1, " ".join(spell(i).capitalize() for i in range(n)) + ", 'zzzz'"), (2, "Aaaa aaab? zzzz"), (3, None)], "k int, t string")
+    names = spark.range(n).select(F.concat(*[F.char(97 + F.floor(F.col("id") / 26**k) % 26) for k in range(4)]).alias("name"))
+    began = time.time()
+    got = {r.k: r.t for r in T.redact_names(df, "k", "t", names).collect()}
+    assert time.time() - began < 15
+    assert got == {1: " ".join(["[NAME]"] * n) + ", 'zzzz'", 2: "[NAME] [NAME]? zzzz", 3: None}
+
+
 def test_minor_speakers_without_an_id_are_unassigned(spark):
     rows = [("s", "iv", 500), ("s", "p", 990), ("s", "x", 5), ("s", "y", 5), ("q", "iv", 1), ("q", "p", 1)]
     df = spark.createDataFrame(rows, "s string, spk string, n int").withColumn("speaker_role", F.lit("participant"))
