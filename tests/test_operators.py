@@ -261,6 +261,22 @@ def test_group_quantiles_are_exact(spark):
     assert {r.val_bin: r["count"] for r in binned} == {"low": 100, "mid": 100}
 
 
+def test_quantile_bins_compute_the_column_once_for_all_rounds(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def measure(i):
+        seen.add(1)
+        return float(i * 7919 % 5003) ** 3
+
+    rows = spark.range(5000).withColumn("x", measure("id"))
+    binned = stats.quantile_bins(rows, "x")
+    assert seen.value == 5000  # each round computed it anew
+    x = np.array([float(i * 7919 % 5003) ** 3 for i in range(5000)])
+    want = np.searchsorted(np.quantile(x, [1 / 3, 2 / 3]), x)
+    assert [r.val_bin for r in binned.orderBy("id").collect()] == [("low", "mid", "high")[k] for k in want]
+
+
 def test_forced_sample_below_and_above_the_target(spark):
     rows = spark.createDataFrame([(i, i % 2, int(i < 6)) for i in range(40)], "i long, g int, discord_flag int")
     sampled = fusion.stratified_sample(rows, ["g"], 10, "i")
